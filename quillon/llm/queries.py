@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import conversations, languages, quality, sentencepieces, simhash, toxicity, warc
+from quillon.llm import benchmarks, conversations, languages, quality, sentencepieces, simhash, substrings, toxicity, warc
 from quillon.llm.labelled import fold
 
 
@@ -26,6 +26,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(toxicity.MODULUS, toxicity.HELD_OUT), "score", predicted, "terms")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmarks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 #: A conversation whose texts hold control strings.
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
@@ -51,6 +55,11 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeats(_table(spark, sf_dir, "documents"))
+    return found.select(F.nullif("id", F.lit(substrings.NULL_ID)).alias("doc_id"), "start_byte", "end_byte", "n_words", "first_ids")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score_texts(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
@@ -64,7 +73,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_chat_formatting, op5_sentencepiece, op6_language_id, op7_simhash_near_dedup, op9_quality, op10_warc)}
+    return {f.__name__: f for f in (op2_toxicity, op3_benchmark_decontamination, op4_chat_formatting, op5_sentencepiece, op6_language_id, op7_simhash_near_dedup, op8_substring_dedup, op9_quality, op10_warc)}
 
 
 _OP4 = """
