@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import benchmarks, conversations, languages, quality, sentencepieces, simhash, substrings, toxicity, warc
+from quillon.llm import benchmarks, conversations, embeddings, languages, quality, sentencepieces, simhash, substrings, toxicity, warc
 from quillon.llm.labelled import fold
 
 
@@ -19,6 +19,10 @@ def _held_out(modulus: int, held_out: int) -> Column:
     return F.coalesce(fold("doc_id", modulus) == held_out, F.lit(False)).alias("held_out")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score_texts(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
@@ -73,8 +77,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_benchmark_decontamination, op4_chat_formatting, op5_sentencepiece, op6_language_id, op7_simhash_near_dedup, op8_substring_dedup, op9_quality, op10_warc)}
-
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_toxicity, op3_benchmark_decontamination, op4_chat_formatting, op5_sentencepiece, op6_language_id, op7_simhash_near_dedup, op8_substring_dedup, op9_quality, op10_warc)}
+
+
+_OP1 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT vec_id AS id, vec_id AS to_id FROM embeddings UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.to_id
+), c AS (SELECT id, min(to_id) AS component_id FROM reach GROUP BY id), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN n ON a = vec_id JOIN c ON c.id = vec_id
+"""
 
 _OP4 = """
 WITH turns AS (
@@ -106,4 +125,4 @@ FROM d LEFT JOIN g USING (payload_digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": _OP4, "op10_warc": _OP10}
+    return {"op1_embedding_near_dedup": _OP1, "op4_chat_formatting": _OP4, "op10_warc": _OP10}
