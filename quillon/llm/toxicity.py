@@ -101,7 +101,8 @@ class Automaton:
         self.numbers: dict[tuple[frozenset, frozenset], int] = {}
         self.states: list[tuple[frozenset, frozenset]] = []
         self.found: list[tuple[tuple[int, int], ...]] = []
-        self.step: dict[tuple[int, str], int] = {}
+        self.step: list[dict[str, int]] = []
+        self.dead: set[int] = set()
         self.start = self._number({(0, 0)}, frozenset())
 
     def _closed(self, pairs: set[tuple[int, int]]) -> frozenset:
@@ -128,7 +129,10 @@ class Automaton:
         key = live, frozenset(stems.items())
         if key not in self.numbers:
             self.numbers[key] = len(self.states)
+            if not live:
+                self.dead.add(len(self.states))
             self.states.append(key)
+            self.step.append({})
             self.found.append(tuple(sorted((whole | stems).items())))
         return self.numbers[key]
 
@@ -141,18 +145,18 @@ class Automaton:
                 pairs.add((child, e))
             pairs.add((node, e + 1))
             pairs.update((x, e + 1) for x in self.children[node].values())
-        to = self.step[state, c] = self._number(pairs, stems) if pairs or stems else -1
+        to = self.step[state][c] = self._number(pairs, stems)
         return to
 
     def match(self, word: str) -> tuple[tuple[int, int], ...]:
         """(term, edits) of all terms that the word matches."""
-        state, step = self.start, self.step
+        state = self.start
         for c in word:
-            to = step.get((state, c))
+            to = self.step[state].get(c)
             if to is None:
                 to = self._next(state, c)
             state = to
-            if not self.states[state][0]:
+            if state in self.dead:
                 break  # no term is in reach any more
         return self.found[state]
 
@@ -161,24 +165,14 @@ class Scorer:
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
         self.automaton = Automaton([e.term for e in lexicon.entries])
-        self.known: dict[str, tuple[tuple[int, int], ...]] = {}
-
-    def word(self, w: str) -> tuple[tuple[int, int], ...]:
-        found = self.known.get(w)
-        if found is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            found = self.known[w] = self.automaton.match(w)
-        return found
 
     def matches(self, text: str | None) -> list[tuple[int, str, int, int, bool]]:
         """Place, surface, term, edits and whether it is quoted, of every match in a whole text."""
         if not text or not self.lexicon.entries:
             return []
         low = text.lower()
-        words = set(_WORD.findall(low))
-        known = self.known
-        hits = {w: m for w in words if (m := known[w] if w in known else self.word(w))}
+        match = self.automaton.match
+        hits = {w: m for w in set(_WORD.findall(low)) if (m := match(w))}
         if not hits:
             return []
         tokens, out = _TOKEN.findall(low), []
@@ -242,7 +236,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
             for text, label in zip(values(batch.column(0)), values(batch.column(1))):
                 for t in terms_of(text):
                     seen.setdefault(t, [0, 0])[label] += 1
-                if len(seen) > 200_000:
+                if len(seen) > 50_000:
                     yield out(seen)
                     seen = {}
         yield out(seen)
