@@ -18,21 +18,43 @@ U+2581 is encoded as a space, as the public library does, and so is the one char
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm.batches import values
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
+_RUNS = re.compile(rf"{MARK}+[^{MARK}]*").findall
 #: An unknown character of a unigram model scores this much below the worst piece.
 UNKNOWN_PENALTY = 10.0
-REMEMBERED, SHORT = 400_000, 48
+#: Bounds of what a process remembers: ids of recent units, and pairs of pieces known to be stable or not.
+REMEMBERED, PAIRS, SHORT = 120_000, 400_000, 48
+
+
+class _Memory(dict):
+    """What a function gave for recent keys: at least the last `most` of them, at most twice as many."""
+
+    def __init__(self, make: Callable[[str], tuple[int, ...]], most: int = REMEMBERED) -> None:
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(key) <= SHORT:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = got
+        return got
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -94,14 +116,29 @@ class Model:
             for n in range(1, len(p)):
                 self.trie.setdefault(p[:n], -1)
             self.trie[p] = i
+        #: The same as nested [id or -1, {character: node}].
+        self.root: list = [-1, {}]
+        for p, i in self.ids.items():
+            node = self.root
+            for c in p:
+                node = node[1].setdefault(c, [-1, {}])
+            node[0] = i
         worst = min((self.scores[i] for i in self.ids.values()), default=0.0)
         self.unknown_score = worst - UNKNOWN_PENALTY
-        apart = "" if any("\n" in p for p in self.ids) else r"\n"
-        inner = any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.units = re.compile(r"(?s).+" if inner else (r"\n|" if apart else "") + rf"{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+").findall
-        self.stable: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Neighbouring characters within any piece: where two others meet, all paths meet.
+        self.inside = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
+        self.lines_apart = not any("\n" in p for p in self.ids)
+        self.words_apart = not any(MARK in p.lstrip(MARK) for p in self.ids)
+        self.stable: dict[int, dict[int, bool]] = {i: {} for i in self.ids.values()}
+        self.stable[-1] = self.stable[-3] = None
+        self.pairs = 0
+        self.bare, self.marked = _Memory(self._unit, REMEMBERED // 3), _Memory(lambda word: self._unit(MARK + word))
+        self.high = {i for b, i in self.bytes.items() if b >= 128}
         self.shown = [p.replace(MARK, " ") for p in self.pieces]
+        for b, i in self.bytes.items():
+            self.shown[i] = chr(b) if b < 128 else ""
+        for i in self.silent:
+            self.shown[i] = ""
 
     def _merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging the best neighbours first, leftmost on ties."""
@@ -118,6 +155,12 @@ class Model:
         return parts
 
     def _is_stable(self, left: str, right: str) -> bool:
+        self.pairs += 1
+        if self.pairs > PAIRS:
+            self.pairs = 0
+            for held in self.stable.values():
+                if held:
+                    held.clear()
         return self._merged(left + right) == [left, right]
 
     def stream(self, chars: Iterable[str]) -> Iterator[list[int]]:
@@ -147,10 +190,9 @@ class Model:
                             score[end], back[end] = s, (end - start, token)
                     else:
                         if before >= 0 and token >= 0:
-                            pair = before, token
-                            ok = stable.get(pair)
+                            ok = stable[before].get(token)
                             if ok is None:
-                                ok = stable[pair] = self._is_stable(pieces[before], sub)
+                                ok = stable[before][token] = self._is_stable(pieces[before], sub)
                             if not ok:
                                 continue
                         back[end] = end - start, token
@@ -193,67 +235,84 @@ class Model:
 
     def _unit(self, unit: str) -> tuple[int, ...]:
         """Ids of the text between two boundaries where all paths meet."""
-        if len(unit) > SHORT or self.kind == UNIGRAM:
-            step = 4 * self.longest
-            ids = tuple(i for part in self.stream(unit[at : at + step] for at in range(0, len(unit), step)) for i in part)
-        else:
-            ids = self._short(unit)
-        if len(unit) <= SHORT:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[unit] = ids
-        return ids
+        cut = len(unit)
+        while cut > 1 and (unit[cut - 2], unit[cut - 1]) not in self.inside:
+            cut -= 1
+        if cut < len(unit):
+            return self.bare[unit[:cut]] + tuple(chain.from_iterable(map(self.bare.__getitem__, unit[cut:])))
+        if len(unit) <= SHORT and self.kind != UNIGRAM:
+            return self._short(unit)
+        step = 4 * self.longest
+        return tuple(chain.from_iterable(self.stream(unit[at : at + step] for at in range(0, len(unit), step))))
 
     def _short(self, unit: str) -> tuple[int, ...]:
         """stream() for a unit that fits a window whole, run forwards from each state."""
-        n, trie, stable, pieces = len(unit), self.trie.get, self.stable, self.pieces
+        n, root, stable, pieces = len(unit), self.root[1], self.stable, self.pieces
         token, start = [-2] * (n + 1), [0] * (n + 1)
         token[0] = -1
         for i in range(n):
-            before = token[i]
-            for j in range(i + 1, n + 1):
-                t = trie(unit[i:j])
-                if t is None:
+            before, kids, j = token[i], root, i
+            apart = stable[before]
+            for c in unit[i:]:
+                node = kids.get(c)
+                if node is None:
                     break
-                if t < 0 or token[j] != -2:
-                    continue
-                if before >= 0:
-                    pair = before, t
-                    ok = stable.get(pair)
-                    if ok is None:
-                        ok = stable[pair] = self._is_stable(pieces[before], pieces[t])
-                    if not ok:
-                        continue
-                token[j], start[j] = t, i
+                j += 1
+                t, kids = node
+                if t >= 0 and token[j] == -2:
+                    if apart is not None:
+                        ok = apart.get(t)
+                        if ok is None:
+                            ok = apart[t] = self._is_stable(pieces[before], pieces[t])
+                        if not ok:
+                            continue
+                    token[j], start[j] = t, i
             if token[i + 1] == -2:
                 token[i + 1], start[i + 1] = -3, i
-        back = [(j - start[j], token[j]) for j in range(n + 1)]
-        return tuple(self._walk(unit, back, n)[0])
+        out, at = [], n
+        while at:
+            if token[at] < 0:
+                return tuple(self._walk(unit, [(j - start[j], token[j]) for j in range(n + 1)], n)[0])
+            out.append(token[at])
+            at = start[at]
+        out.reverse()
+        return tuple(out)
 
     def encode(self, text: str | None) -> list[int]:
+        if not text:
+            return []
+        if not self.words_apart:
+            return list(chain.from_iterable(self.stream([MARK + text.replace(" ", MARK)])))
         out: list[int] = []
-        if text:
-            known = self.known
-            for unit in self.units(MARK + text.replace(" ", MARK)):
-                ids = known.get(unit)
-                out += self._unit(unit) if ids is None else ids
+        if MARK in text:
+            text = text.replace(MARK, " ")
+        for n, line in enumerate(text.split("\n") if self.lines_apart else [text]):
+            if n:
+                out += self.bare["\n"]
+            # A word mark stands before the text and for every space.
+            words = line.split(" ")
+            if n == 0:
+                words.insert(0, "")
+            if words[0]:
+                out += self.bare[words[0]]
+            if "" in words[1:]:  # several marks in a row belong to one unit
+                out += chain.from_iterable(map(self.bare.__getitem__, _RUNS("".join(MARK + w for w in words[1:]))))
+            else:
+                out += chain.from_iterable(map(self.marked.__getitem__, words[1:]))
         return out
 
-    def decode(self, ids: Iterable[int]) -> str:
-        out, raw, byte_of, shown, silent = [], bytearray(), self.byte_of, self.shown, self.silent
-        for i in ids:
-            b = byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
+    def decode(self, ids: Sequence[int]) -> str:
+        if self.high.isdisjoint(ids):  # a byte under 128 is a character of its own wherever it stands
+            text = "".join(map(self.shown.__getitem__, ids))
+        else:
+            parts, raw = [], bytearray()
+            for i in ids:
+                if i in self.byte_of:
+                    raw.append(self.byte_of[i])
+                    continue
+                parts.append(raw.decode("utf-8", "replace") + self.shown[i])
                 raw.clear()
-            if i not in silent:
-                out.append(shown[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out)
+            text = "".join(parts) + raw.decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -269,31 +328,38 @@ def load(raw: bytes) -> Model:
     return _LOADED[key]
 
 
-def encode_texts(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, token_ids array<int>, n_tokens, round_trip (the ids decode to the text), a row for each input row.
+def with_token_ids(docs: DataFrame, model_path: str = MODEL, text_col: str = "text") -> DataFrame:
+    """docs with token_ids array<int>, n_tokens and round_trip (the ids decode to the text) in place of any columns of
+    those names.
 
     The driver reads the model file (its size is that of a vocabulary) and ships it to the tasks.
     """
     with open(model_path, "rb") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.drop("token_ids", "n_tokens", "round_trip")
+    at, names = source.columns.index(text_col), [*source.columns, "token_ids", "n_tokens", "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(shipped.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
                 rows, sizes, same = [], [0], []
-                for text in values(part.column(1)):
+                for text in values(part.column(at)):
                     ids = model.encode(text)
                     rows.append(np.array(ids, np.int32))
                     sizes.append(len(ids))
                     same.append(model.decode(ids) == (text or ""))
-                flat = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.array(sizes[1:], np.int64)), pa.array(same, pa.bool_())], ["id", "token_ids", "n_tokens", "round_trip"])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(np.array(sizes[1:], np.int64)), pa.array(same, pa.bool_())], names)
+
+    added = T.StructType([T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())])
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, *added.fields]))
 
-    return source.mapInArrow(run, "id long, token_ids array<int>, n_tokens long, round_trip boolean").withColumnRenamed("id", id_col)
+
+def encode_texts(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, token_ids, n_tokens, round_trip, a row for each input row."""
+    return with_token_ids(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text")), model_path, "_text").drop("_text")
 
 
 def decode_texts(encoded: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
