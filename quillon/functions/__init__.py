@@ -1 +1 @@
-
+"""Scalar expressions that stay in the JVM."""

@@ -1 +1 @@
-
+"""Registered queries with their oracles, and text plans."""

@@ -1 +1 @@
-
+"""Tables, views, files and codecs."""
