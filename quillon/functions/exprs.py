@@ -48,7 +48,8 @@ def visual_similarity(cos: Column, bits: Column, weight: float = 0.6) -> Column:
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     p1, p2 = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_RADIUS_M * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
+    # least() would skip a null: an unknown place is no distance away, not half the globe.
+    return F.when(h.isNotNull(), 2 * EARTH_RADIUS_M * F.asin(F.least(F.sqrt(h), F.lit(1.0))))
 
 
 def valid_fix(lat: Column, lon: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs
+from quillon.operators.graph import connected_components
 
 MAX_BITS, ASPECT_TOLERANCE = 4, 0.01
 
@@ -51,33 +52,14 @@ def near_pairs(items: DataFrame, max_bits: int = MAX_BITS, probes_only: bool = T
     return close.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
-def components(edges: DataFrame, checkpoint_every: int = 3, most: int = 50) -> DataFrame:
-    """node, root (smallest id) by min-label propagation with pointer jumping; lineage is cut by checkpoints."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct()
-    label = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root"))
-    sc = both.sparkSession.sparkContext
-    durable = sc._jsc.sc().getCheckpointDir().isDefined()
-    seen = None
-    for n in range(most):
-        near = both.join(label, both.v == label.node).groupBy("u").agg(F.min("root").alias("m"))
-        label = label.join(near, label.node == near.u, "left").select("node", F.least("root", "m").alias("root"))
-        up = label.select(F.col("node").alias("parent"), F.col("root").alias("grand"))
-        label = label.join(up, label.root == up.parent, "left").select("node", F.least("root", "grand").alias("root"))
-        if durable and n % checkpoint_every == checkpoint_every - 1:
-            label = label.checkpoint()
-        now = label.agg(F.sum("root")).first()[0]
-        if now == seen:
-            break
-        seen = now
-    return label
-
-
 def duplicate_groups(items: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """id, group_id (smallest id of the group), kind (exact where an equal file exists, else near)."""
     exact = exact_groups(items)
     edges = exact.where("id <> group_id").select(F.col("id").alias("a"), F.col("group_id").alias("b")).unionByName(near_pairs(items, max_bits))
     kinds = exact.select("id", F.lit("exact").alias("kind"))
-    return components(edges).withColumnsRenamed({"node": "id", "root": "group_id"}).join(kinds, "id", "left").select("id", "group_id", F.coalesce("kind", F.lit("near")).alias("kind"))
+    member = connected_components(edges).withColumnsRenamed({"node": "id", "root": "group_id"})
+    every = member.unionByName(member.select(F.col("group_id").alias("id"), "group_id").distinct())
+    return every.join(kinds, "id", "left").select("id", "group_id", F.coalesce("kind", F.lit("near")).alias("kind"))
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:

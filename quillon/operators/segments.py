@@ -7,15 +7,14 @@ reach across splits a session into chunks that are segmented independently and g
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs
+from quillon.operators.grouped import Columns, map_groups
 
 
 @dataclass(frozen=True)
@@ -65,18 +64,17 @@ def adaptive_t_burst(items: DataFrame, key: str) -> DataFrame:
 
 
 class _Likeness:
-    def __init__(self, rows: pd.DataFrame, p: GroupParams) -> None:
-        self.p = p
-        self.t = [None if pd.isna(x) else int(x) for x in rows["t"]]
-        self.device = [None if pd.isna(x) else int(x) for x in rows["device"]]
-        self.hash = [None if pd.isna(x) else int(x) & (2**64 - 1) for x in rows["phash"]]
-        self.vector = [None if v is None or not len(v) else np.asarray(v, np.float32) for v in rows["embedding"]]
+    def __init__(self, rows: Columns, p: GroupParams) -> None:
+        self.p, self.t, self.device = p, rows["t"], rows["device"]
+        self.hash = [None if x is None else x & (2**64 - 1) for x in rows["phash"]]
+        self.vector = [None if not v else np.asarray(v, np.float32) for v in rows["embedding"]]
+        self.size = [0.0 if v is None else float(np.linalg.norm(v)) for v in self.vector]
 
     def __call__(self, i: int, j: int) -> float:
         a, b = self.vector[i], self.vector[j]
         cos = bits = None
         if a is not None and b is not None and len(a) == len(b):
-            size = float(np.linalg.norm(a) * np.linalg.norm(b))
+            size = self.size[i] * self.size[j]
             cos = float(a @ b) / size if size >= 1e-12 else 0.0
         if self.hash[i] is not None and self.hash[j] is not None:
             bits = 1.0 - (self.hash[i] ^ self.hash[j]).bit_count() / 64.0
@@ -91,10 +89,10 @@ class _Likeness:
         return (apart <= t_burst and alike >= self.p.theta_burst) or (apart <= self.p.t_slow_ms and alike >= self.p.theta_strict)
 
 
-def segment(rows: pd.DataFrame, t_burst: int, p: GroupParams) -> list[int]:
+def segment(rows: Columns, t_burst: int, p: GroupParams) -> list[int]:
     """Burst number of each row of one chunk in time order, numbered by first row."""
     like, burst, opened = _Likeness(rows, p), [], []
-    for i in range(len(rows)):
+    for i in range(len(rows["t"])):
         chosen, best = None, -math.inf
         for j in range(i - 1, max(-1, i - 1 - max(p.lookback, 1)), -1):  # nearer rows win ties
             alike = like(j, i)
@@ -156,15 +154,14 @@ def bursts(items: DataFrame, p: GroupParams = GroupParams(), key: str = "session
     placed = placed.withColumn("chunk", F.when(F.col("chunk") >= first_tail, first_tail).otherwise(F.col("chunk")))
     ready = placed.join(limits, key).select(key, "chunk", "pos", "id", "t", "device", "phash", "embedding", "t_burst")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos", ignore_index=True)
-        number = segment(rows, int(rows["t_burst"].iloc[0]), p)
+    def run(c: Columns) -> Columns:
+        number = segment(c, c["t_burst"][0], p)
         first: dict[int, int] = {}
-        for n, i in zip(number, rows["id"]):
-            first.setdefault(n, int(i))
-        return pd.DataFrame({key: rows[key], "id": rows["id"], "burst_id": [first[n] for n in number]})
+        for n, i in zip(number, c["id"]):
+            first.setdefault(n, i)
+        return {key: c[key], "id": c["id"], "burst_id": [first[n] for n in number]}
 
-    return ready.groupBy(key, "chunk").applyInPandas(run, f"{key} long, id long, burst_id long")
+    return map_groups(ready, [key, "chunk"], ["pos"], run, f"{key} long, id long, burst_id long")
 
 
 def _numbered(rows: DataFrame, cut: Column, order: Window, name: str) -> DataFrame:
@@ -231,7 +228,3 @@ def even_thinning(rows: DataFrame, key: str, most: int) -> DataFrame:
     i = F.ceil(F.col("r") * most / F.col("n"))
     taken = (F.col("n") <= most) | ((i < most) & (F.floor(i * F.col("n") / most) == F.col("r")))
     return ranked.where(taken).drop("r", "n")
-
-
-def iter_chunks(rows: list, size: int) -> Iterator[list]:
-    yield from (rows[i : i + size] for i in range(0, len(rows), size))

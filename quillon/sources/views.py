@@ -101,6 +101,6 @@ def oracle_views(*names: str) -> str:
     parts = []
     for name in names:
         table, columns, joined = _FROM[name]
-        listed = ", ".join(f"{_expand(e, 'epoch_ms({})')} AS {c}" for c, e in columns.items())
+        listed = ", ".join(f"{_expand(e, '(epoch_us({}) // 1000)')} AS {c}" for c, e in columns.items())
         parts.append(f"{name} AS (SELECT {listed} FROM {table}{joined})")
     return "WITH " + ", ".join(parts)

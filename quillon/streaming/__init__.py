@@ -1 +1 @@
-
+"""Incremental maintenance with Structured Streaming."""
