@@ -11,8 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import benchmarks, scratch, sentencepieces, simhash, substrings, toxicity
+from quillon.llm import benchmarks, sentencepieces, simhash, substrings, toxicity
 from quillon.shipping import ship
+from quillon.sources import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -56,7 +56,7 @@ class _Hasher(dict):
     """Word hashes: 64 bits per walk, two walks side by side."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         data = word.encode("utf-8", "replace")
         got = self[word] = zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)

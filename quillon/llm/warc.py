@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.batches import values
-from quillon.llm.scratch import materialize, new_path
+from quillon.sources.scratch import materialize, new_path
 
 # Fixed values of the formats.
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
