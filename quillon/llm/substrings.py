@@ -180,7 +180,7 @@ def stretches(chunks: Iterator[tuple[int, int, int]], min_words: int) -> Iterato
             start, last = open_run[0][0] & ((1 << 40) - 1), open_run[-1]
             yield start, (last[0] & ((1 << 40) - 1)) + (last[1] >> 12), words, sorted({f for _, _, f in open_run})
 
-    for chunk in sorted(chunks):
+    for chunk in sorted(set(chunks)):  # repeated rows bring a chunk twice
         if open_run and chunk[0] >> 40 != (open_run[-1][0] >> 40) + 1:
             yield from close()
             open_run = []
