@@ -98,10 +98,13 @@ def suffix_automaton(codes: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    first = np.zeros(SYMBOLS, np.int32)
+    # A symbol that the text lacks is a phrase of its own: from `lone`, whatever comes begins the next.
+    lone = len(nexts)
+    first = np.full(SYMBOLS, lone, np.int32)
     for c, to in nexts[0].items():
         first[c] = to
-    table = np.tile(~first, (len(nexts), 1))
+    table = np.tile(~first, (lone + 1, 1))
+    table[0] = first
     for state, to in enumerate(nexts):
         if to:
             table[state, list(to)] = list(to.values())
