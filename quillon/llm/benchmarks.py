@@ -27,6 +27,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,14 @@ from quillon.llm.batches import values
 
 LEAST_WORDS, ITEM_WINDOW = 5, 32
 EDITS = 0.2
-#: Independent walks, tables of each, sampled steps in a key, and steps that they are sampled from. A window with too
-#: few starts from which a walk of so many steps stays within it is also keyed on fewer.
-WALKS, TABLES, SAMPLED, STEPS, STARTS = 2, 2, 6, (14, 8, 4), 4
+#: Independent walks, tables of each, sampled steps in a key.
+WALKS, TABLES, SAMPLED = 2, 2, 6
+#: Steps that keys are sampled from, and the longest windows that are keyed so: in a short window an edit leaves no long
+#: stretch in step, so it is keyed on fewer steps too.
+STEPS = {14: ITEM_WINDOW, 8: 15, 4: 7}
 #: Items of one broadcast index: some ten MB.
 ITEMS_AT_ONCE = 10_000
-WORDS_AT_ONCE = 1 << 18
+WORDS_AT_ONCE = 1 << 16
 FILTER_SHARE = 9
 
 _WORD = re.compile(r"\w+")
@@ -96,20 +99,17 @@ class Index:
         offset = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
         #: (walk, steps) -> [(sampled steps, filter, sorted keys, their windows, their offsets)].
         self.tables: dict[tuple[int, int], list[tuple]] = {}
-        short = np.ones(len(sizes), bool)
-        for steps in STEPS:
-            if not short.any():
+        for steps, longest in STEPS.items():
+            keyed = sizes <= longest
+            if not keyed.any():
                 break
-            enough = np.zeros(len(sizes), bool)
             for walk in range(WALKS):
                 written, pointer = _walk(codes, np.arange(len(codes)), ends[owner], walk, steps, None)
-                inside = (pointer < ends[owner]) & short[owner]
-                enough |= np.bincount(owner[inside], minlength=len(sizes)) >= STARTS
+                inside = (pointer < ends[owner]) & keyed[owner]
                 for sampled in samples(steps)[walk]:
                     key = _keys_of([written[s] for s in sampled])[inside]
                     order = np.argsort(key, kind="stable")
                     self.tables.setdefault((walk, steps), []).append((sampled, _filter(key), key[order], owner[inside][order], offset[inside][order]))
-            short &= ~enough
 
     def candidates(self, codes: np.ndarray, limit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Arrays of (place, window, offset) that meet in a table; limit: the end of the text of each place."""
@@ -130,7 +130,7 @@ class Index:
     def search(self, texts: list[list[str]], hasher: _Hasher) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, first word, end word, edits) of verified matches, the best of each text and item."""
         sizes = np.array([len(t) for t in texts], np.int64)
-        codes = np.fromiter((hasher[w] for t in texts for w in t), np.uint64, int(sizes.sum()))
+        codes = np.fromiter(map(hasher.__getitem__, chain.from_iterable(texts)), np.uint64, int(sizes.sum()))
         if not self.windows or not len(codes):
             return
         ends = np.cumsum(sizes)
