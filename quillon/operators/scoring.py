@@ -175,3 +175,73 @@ def fuse_taste(q: Column, taste: Column, labels: int) -> Column:
     """The score with a preference model's opinion mixed in, more so with more labels, 0.6 at most."""
     alpha = min(0.6, 0.6 * labels / 200)
     return F.when(taste.isNotNull(), (1 - alpha) * q + alpha * taste).otherwise(q)
+
+
+#: Composition: weights of its parts, the frame's edge, heads that count for headroom, degrees of full penalty.
+PARTS = {"thirds": 0.35, "headroom": 0.15, "horizon": 0.20, "cutoff": 0.30}
+EDGE, HEAD_HEIGHT, LEVEL_PENALTY_DEG = 0.01, 0.08, 6.0
+
+
+def _axis(a: Column) -> Column:
+    """How well a coordinate sits on a third line, or a little less on the middle."""
+    bell = lambda d, s: F.exp(-0.5 * F.pow(d / s, 2))
+    third = F.least(F.abs(a - 1 / 3), F.abs(a - 2 / 3))
+    return F.greatest(bell(third, 0.09), 0.8 * bell(F.abs(a - 0.5), 0.06))
+
+
+def thirds(x: Column, y: Column) -> Column:
+    return F.sqrt(_axis(clamp01(x)) * _axis(clamp01(y)))
+
+
+def headroom(gap: Column) -> Column:
+    return F.when(gap < 0.04, clamp01(F.greatest(gap, F.lit(0.0)) / 0.04)).when(gap <= 0.25, 1.0).otherwise(F.greatest(1.0 - 0.7 * (gap - 0.25) / 0.35, F.lit(0.3)))
+
+
+def horizon(deg: Column) -> Column:
+    return 1.0 - 0.85 * F.least(F.abs(deg) / LEVEL_PENALTY_DEG, F.lit(1.0))
+
+
+def composition_scores(photos: DataFrame, faces: DataFrame) -> DataFrame:
+    """photo_id, composition: placement, headroom, level and cut-off of the subjects, or of the salient box without any;
+    null without an anchor.
+
+    photos: photo_id, saliency (struct x, y, w, h or null), tilt_deg, tilt_confidence. faces: photo_id, is_subject,
+    nonhuman, artificial, x, y, w, h.
+    """
+    beside = lambda x, y, w, h: (x < EDGE) | (x + w > 1 - EDGE) | (y + h > 1 - EDGE)
+    box = [F.col(c).cast("double") for c in "xywh"]
+    live = faces.where((F.col("is_subject") == 1) & ~not_a_person() & (F.col("w") > 0) & (F.col("h") > 0))
+    around = live.groupBy("photo_id").agg(
+        F.min(box[0]).alias("x1"), F.min(box[1]).alias("y1"), F.max(box[0] + box[2]).alias("x2"), F.max(box[1] + box[3]).alias("y2"), F.avg(F.when(beside(*box), 1.0).otherwise(0.0)).alias("cut"),
+    )
+    rows = photos.join(around, "photo_id", "left")
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    s = [F.col(f"saliency.{c}") for c in "xywh"]
+    salient = x1.isNull() & (s[2] > 0) & (s[3] > 0)
+    cut = ~((s[2] >= 0.9) & (s[3] >= 0.9)) & (beside(*s) | (s[1] < EDGE))
+    tall = y2 - y1
+    level = (F.col("tilt_confidence") >= TILT_CONFIDENCE) & (F.abs("tilt_deg") <= TILT_MAX)
+    anchored = x1.isNotNull() | F.coalesce(salient, F.lit(False))
+    parts = {
+        "thirds": F.when(x1.isNotNull(), thirds((x1 + x2) / 2, y1 + 0.4 * tall)).when(salient, thirds(s[0] + s[2] / 2, s[1] + s[3] / 2)),
+        "headroom": F.when(tall >= HEAD_HEIGHT, headroom(y1)),
+        "cutoff": F.when(x1.isNotNull(), 1.0 - 0.8 * F.col("cut")).when(salient, F.when(cut, 0.6).otherwise(1.0)),
+        "horizon": F.when(anchored & level, horizon(F.col("tilt_deg"))),
+    }
+    return rows.select("photo_id", F.when(anchored, clamp01(weighted_mean([(PARTS[k], v) for k, v in parts.items()]))).alias("composition"))
+
+
+#: Mean gray and contrast of a face at which it is fully visible.
+COVER_LUMA, COVER_CONTRAST = 0.15, 0.06
+
+
+def cover_score() -> Column:
+    """How good a face is as a person's cover: big (to a cap), surely found, sharp, frontal, open, visible."""
+    c = lambda n, default: F.coalesce(F.col(n).cast("double"), F.lit(default))
+    bound = lambda x, low, high: F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    size = F.least(F.sqrt(F.greatest(c("w", 0.0) * c("h", 0.0), F.lit(0.0))), F.lit(0.3))
+    turned = F.greatest(1 - F.abs(c("yaw", 0.0)) / 75, F.lit(0.05)) * F.greatest(1 - F.abs(c("pitch", 0.0)) / 60, F.lit(0.1))
+    frontal = F.when(F.col("yaw").isNull() & F.col("pitch").isNull(), 0.7).otherwise(turned)
+    t = bound(F.least(c("luma", 0.0) / COVER_LUMA, c("contrast", 0.0) / COVER_CONTRAST), 0.0, 1.0)
+    visible = F.when(F.col("luma").isNotNull() & F.col("contrast").isNotNull(), 0.02 + 0.98 * F.pow(t, 3)).when(F.col("mean_luminance").isNotNull(), bound(c("mean_luminance", 0.0) / 0.3, 0.25, 1.0)).otherwise(1.0)
+    return size * bound(c("det_score", 0.5), 0.05, 1.0) * (0.3 + bound(c("sharpness", 0.5), 0.0, 1.0)) * frontal * (1 - 0.8 * bound(c("occlusion", 0.0), 0.0, 1.0)) * visible

@@ -110,3 +110,22 @@ def taste_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bystander_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The faces that a removal of bystanders offers: all living ones that aren't subjects, whatever their size."""
     return view(spark, sf_dir, "face").where((F.col("is_subject") != 1) & ~scoring.not_a_person()).groupBy("photo_id").agg(F.count("*").alias("n"))
+
+
+_AXIS = "greatest(exp(-0.5 * pow(least(abs({0} - 1 / 3.0::DOUBLE), abs({0} - 2 / 3.0::DOUBLE)) / 0.09, 2)), 0.8 * exp(-0.5 * pow(abs({0} - 0.5) / 0.06, 2)))"
+_LEVEL = "CASE WHEN tilt_confidence >= 0.2 AND abs(tilt_deg) <= 10 THEN 1 - 0.85 * least(abs(tilt_deg) / 6.0, 1) END"
+
+
+@register("composition_scores", f"""{oracle_views('photo', 'face')}, m AS (SELECT photo_id, {_M} FROM photo), u AS (SELECT photo_id, min(x) AS x1, min(y) AS y1, max(x + w) AS x2, max(y + h) AS y2, avg(CASE WHEN x < 0.01 OR x + w > 0.99 OR y + h > 0.99 THEN 1.0 ELSE 0 END) AS cut FROM face WHERE is_subject = 1 AND {_LIVE} AND w > 0 AND h > 0 GROUP BY 1),
+ p AS (SELECT photo_id, sqrt({_AXIS.format(_c('((x1 + x2) / 2)'))} * {_AXIS.format(_c('(y1 + 0.4 * (y2 - y1))'))}) AS t, CASE WHEN y2 - y1 < 0.08 THEN NULL WHEN y1 < 0.04 THEN y1 / 0.04 WHEN y1 <= 0.25 THEN 1 ELSE greatest(1 - 0.7 * (y1 - 0.25) / 0.35, 0.3) END AS hd, 1 - 0.8 * cut AS c, {_LEVEL} AS l FROM m JOIN u USING (photo_id))
+ SELECT m.photo_id, round((0.35 * t + coalesce(0.15 * hd, 0) + 0.30 * c + coalesce(0.20 * l, 0)) / (0.65 + CASE WHEN hd IS NULL THEN 0 ELSE 0.15 END + CASE WHEN l IS NULL THEN 0 ELSE 0.20 END), 4) AS composition FROM m LEFT JOIN p ON p.photo_id = m.photo_id""")
+def composition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("struct<x:double,y:double,w:double,h:double>")
+    photos = measured(spark, sf_dir).select("photo_id", none.alias("saliency"), "tilt_deg", "tilt_confidence")
+    return scoring.composition_scores(photos, view(spark, sf_dir, "face")).select("photo_id", F.round("composition", 4).alias("composition"))
+
+
+@register("cover_scores", f"{oracle_views('face')} SELECT photo_id, part_key, line, round(least(sqrt(w * h), 0.3) * 0.5 * (0.3 + coalesce(sharpness, 0.5)) * greatest(1 - abs(yaw) / 75.0, 0.05) * greatest(1 - abs(coalesce(pitch, 0)) / 60.0, 0.1) * (0.02 + 0.98 * pow(least((part_key % 50) / 100.0 / 0.15, 0.05 / 0.06, 1.0), 3)), 6) AS score FROM face")
+def cover_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = view(spark, sf_dir, "face").selectExpr("*", "part_key % 50 / 100.0 AS luma", "0.05 AS contrast", "NULL AS det_score", "NULL AS occlusion", "NULL AS mean_luminance")
+    return f.select("photo_id", "part_key", "line", F.round(scoring.cover_score(), 6).alias("score"))
