@@ -154,38 +154,45 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     place = F.struct("id", "text_hash", "place")
     first = shared.groupBy("digest").agg(F.min(place).alias("first"))
     later = shared.join(first, "digest").where(place != F.col("first")).select("id", "text_hash", "place", "extent", F.col("first.id").alias("first_id"))
-    # A document's own later chunks, as many as its text has at most.
-    held = later.groupBy("id", "text_hash").agg(F.collect_list(F.struct("place", "extent", "first_id")).alias("chunks"))
+    dealt = later.repartition("id", "text_hash").sortWithinPartitions("id", "text_hash", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 5
         for batch in batches:
-            rows = []
-            for doc, key, chunks_of in zip(*(values(c) for c in batch.columns)):
-                for start, end, words, firsts in stretches(((c["place"], c["extent"], c["first_id"]) for c in chunks_of), min_words):
-                    rows.append((doc, key, start, end, words, firsts))
-            types = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-            columns = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "text_hash", "start_byte", "end_byte", "n_words", "first_ids"])
-
-    return held.mapInArrow(run, "id long, text_hash long, start_byte long, end_byte long, n_words long, first_ids array<long>")
-
-
-def stretches(chunks: Iterator[tuple[int, int, int]], min_words: int) -> Iterator[tuple[int, int, int, list[int]]]:
-    """First byte, end, words and earliest documents of runs of neighbouring (place, extent, first id)."""
-    open_run: list[tuple[int, int, int]] = []
-
-    def close() -> Iterator[tuple[int, int, int, list[int]]]:
-        words = sum(e & 4095 for _, e, _ in open_run)
-        if open_run and words >= min_words:
-            start, last = open_run[0][0] & ((1 << 40) - 1), open_run[-1]
-            yield start, (last[0] & ((1 << 40) - 1)) + (last[1] >> 12), words, sorted({f for _, _, f in open_run})
-
-    for chunk in sorted(set(chunks)):  # repeated rows bring a chunk twice
-        if open_run and chunk[0] >> 40 != (open_run[-1][0] >> 40) + 1:
-            yield from close()
-            open_run = []
-        open_run.append(chunk)
-    yield from close()
+            held, starts = _runs([np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)])
+            yield _stretches(held, starts, min_words)
+            held = [h[starts[-1] :] for h in held] if len(starts) else held  # the last run may go on
+        yield _stretches(held, np.array([0, len(held[0])]), min_words)
+
+    return dealt.mapInArrow(run, "id long, text_hash long, start_byte long, end_byte long, n_words long, first_ids array<long>")
+
+
+def _runs(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted rows (id, text_hash, place, extent, first_id) without repeated ones, and where runs of neighbouring chunks of
+    one document begin."""
+    doc, key, place = rows[:3]
+    same = (doc[1:] == doc[:-1]) & (key[1:] == key[:-1])
+    once = np.ones(len(doc), bool)
+    once[1:] = ~(same & (place[1:] == place[:-1]))
+    rows = [r[once] for r in rows]
+    doc, key, place = rows[:3]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | ((place[1:] >> 40) != (place[:-1] >> 40) + 1)
+    return rows, np.flatnonzero(new)
+
+
+def _stretches(rows: list[np.ndarray], starts: np.ndarray, min_words: int) -> pa.RecordBatch:
+    """The runs between starts that have enough words; what follows the last start is left out."""
+    doc, key, place, extent, first = (r[: starts[-1] if len(starts) else 0] for r in rows)
+    begin, end = (starts[:-1], starts[1:]) if len(doc) else (np.empty(0, np.int64),) * 2
+    words = np.add.reduceat(extent & 4095, begin) if len(begin) else np.empty(0, np.int64)
+    enough = words >= min_words
+    begin, end, words = begin[enough], end[enough], words[enough]
+    low = (1 << 40) - 1
+    last = end - 1
+    firsts = [np.unique(first[a:b]).tolist() for a, b in zip(begin.tolist(), end.tolist())]
+    columns = [doc[begin], key[begin], place[begin] & low, (place[last] & low) + (extent[last] >> 12), words]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(firsts, pa.list_(pa.int64()))], ["id", "text_hash", "start_byte", "end_byte", "n_words", "first_ids"])
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", min_words: int = MIN_WORDS) -> DataFrame:

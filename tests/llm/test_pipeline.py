@@ -1,7 +1,7 @@
 import os
 
 import pytest
-from llm_helpers import components
+from llm_helpers import components, stretches
 
 import corpus_pipeline
 from quillon.llm import benchmarks, queries, sentencepieces, simhash, substrings, toxicity
@@ -54,9 +54,9 @@ def test_run_equals_brute_force(spark, corpus):
         for n, end in enumerate(substrings.chunk_ends(data)):
             first = seen.setdefault(xxhash.xxh3_64_intdigest(data[start:end]), (i, n))
             if first != (i, n):
-                later.append((n << 40 | start, (end - start) << 12 | len(data[start:end].split()), first[0]))
+                later.append((n << 40 | start, (end - start) << 12 | len(data[start:end].split())))
             start = end
-        spans = [{"start_byte": a, "end_byte": b} for a, b, *_ in substrings.stretches(iter(later), substrings.MIN_WORDS)]
+        spans = [{"start_byte": a, "end_byte": b} for a, b, *_ in stretches(later, substrings.MIN_WORDS)]
         cut[i] = substrings.cut(docs[i], spans) if spans else docs[i]
     assert cut[31] == docs[31] and cut[32] != docs[32]
     docs = cut

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from llm_helpers import stretches
 
 from quillon.llm import substrings as s
 
@@ -48,9 +49,9 @@ def plain(rows):
             key = xxhash.xxh3_64_intdigest(chunk)
             first = seen.setdefault(key, (doc, text, n))
             if first != (doc, text, n):
-                chunks.append((n << 40 | start, len(chunk) << 12 | len(chunk.split()), first[0]))
+                chunks.append((n << 40 | start, len(chunk) << 12 | len(chunk.split())))
             start = end
-        out[doc, text] = [(a, b, w) for a, b, w, _ in s.stretches(iter(chunks), s.MIN_WORDS)]
+        out[doc, text] = list(stretches(chunks, s.MIN_WORDS))
     return out
 
 
@@ -70,6 +71,14 @@ def test_repeats_equal_a_plain_pass(spark, make_docs, prose):
     assert all(i in got for i in range(3, 12)) and 0 not in {k for k in got if k == 0} - {0}
 
 
+def test_runs_over_many_batches(spark, make_docs, prose):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        test_repeats_equal_a_plain_pass(spark, make_docs, prose)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_insertions_do_not_shift_chunks(prose):
     text = prose(9, 400, 4000)
     data, moved = text.encode(), ("something put in front " + text).encode()
