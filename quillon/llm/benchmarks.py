@@ -24,13 +24,13 @@ length are searched whole.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +56,12 @@ def words_of(text: str | None) -> list[str]:
 
 
 class _Hasher(dict):
-    """Word hashes: 64 bits per walk, two walks side by side."""
+    """64-bit hashes of words; remembers the recent ones."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 100_000:
+        if len(self) > 200_000:
             self.clear()
-        data = word.encode("utf-8", "replace")
-        got = self[word] = zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)
+        got = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
         return got
 
 
@@ -154,6 +153,9 @@ class Index:
         """First word, end word and edit distance of the stretch of text[low:high] that is nearest to window n, if at most
         `most` words differ."""
         size, part = len(self.windows[n][1]), text[low:high]
+        present = set(part)
+        if sum(w not in present for w in self.windows[n][1]) > most:
+            return None  # each of these words costs an edit
         costs = list(_edits(self.masks[n], size, part, 0))
         cost = min(costs, default=most + 1)
         if cost > most:
