@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs
 from quillon.operators import maintenance as m
+from quillon.operators import ranking
 from quillon.plans.registry import register
 from quillon.sources.views import oracle_views, view
 
@@ -159,3 +160,27 @@ def photo_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = view(spark, sf_dir, "photo").select("photo_id", "burst_id")
     sizes = p.where("burst_id IS NOT NULL").groupBy("burst_id").agg(F.count("*").alias("n"))
     return p.join(sizes, "burst_id", "left").join(view(spark, sf_dir, "burst").select("burst_id", "scene_id").distinct(), "burst_id", "left").select("photo_id", F.coalesce("n", F.lit(0)).alias("burst_size"), "scene_id")
+
+
+@register("name_info", f"{oracle_views('photo', 'burst', 'scene')} SELECT p.photo_id, coalesce('event-' || s.event_id, 'session ' || p.session_id) AS event, b.scene_id FROM photo p LEFT JOIN (SELECT DISTINCT burst_id, scene_id FROM burst) b ON b.burst_id = p.burst_id LEFT JOIN (SELECT DISTINCT scene_id, event_id FROM scene) s ON s.scene_id = b.scene_id")
+def name_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = view(spark, sf_dir, "photo")
+    titles = p.selectExpr("photo_id", "session_id", "'session ' || session_id AS title")
+    return ranking.name_info(p, view(spark, sf_dir, "burst"), view(spark, sf_dir, "scene"), titles)
+
+
+@register("thumbnail_queue", f"{oracle_views('photo')}, q AS (SELECT photo_id, mtime AS queued_at, CASE WHEN photo_id % 5 = 0 THEN mtime + photo_id % 7 END AS boosted_at, photo_id % 50 AS lane FROM photo) SELECT photo_id, (row_number() OVER (PARTITION BY lane ORDER BY boosted_at IS NULL, boosted_at DESC, queued_at, photo_id))::INT AS place FROM q")
+def thumbnail_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = view(spark, sf_dir, "photo").selectExpr("photo_id", "mtime AS queued_at", "CASE WHEN photo_id % 5 = 0 THEN mtime + photo_id % 7 END AS boosted_at", "photo_id % 50 AS lane")
+    return q.select("photo_id", F.row_number().over(Window.partitionBy("lane").orderBy(*ranking.thumbnail_order())).alias("place"))
+
+
+_SETS = "a AS (SELECT photo_id FROM photo WHERE flag = 1), b AS (SELECT photo_id FROM photo WHERE user_rating >= 3)"
+
+
+@register("set_operations", f"{oracle_views('photo')}, {_SETS} SELECT 'union' AS op, photo_id FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', photo_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', photo_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
+def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = view(spark, sf_dir, "photo")
+    a, b = p.where("flag = 1").select("photo_id"), p.where("user_rating >= 3").select("photo_id")
+    named = lambda n, df: df.select(F.lit(n).alias("op"), "photo_id")
+    return named("union", a.union(b).distinct()).union(named("intersect", a.intersect(b))).union(named("except", a.subtract(b)))

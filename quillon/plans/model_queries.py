@@ -65,3 +65,10 @@ def person_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     tracks = v.selectExpr("label AS library", "vec_id AS track_id", "embedding", "array(vec_id, vec_id + 1000000) AS photos", "vec_id % 5 + 1 AS n_faces", "cast(NULL AS bigint) AS locked", "vec_id % 4 <> 0 AS reliable")
     return people.people(tracks.withColumn("library", F.col("library").cast("long")), "library", threshold=0.3)
+
+
+@register("recompute_subjects")
+def recompute_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces whose subject flag changes; tests hold the rule against hand-made photos."""
+    f = view(spark, sf_dir, "face").selectExpr("photo_id", "part_key * 100 + line * 10 AS face_id", *[f"double({c}) AS {c}" for c in ("x", "y", "w", "h", "sharpness", "gaze")], "person_id IS NOT NULL AS named", "nonhuman = 1 OR artificial >= 0.55 AS not_person", "is_subject = 1 AS is_subject")
+    return people.recompute_subjects(f)
