@@ -1,4 +1,7 @@
-"""Makes the package importable on executors, wherever the driver was started from."""
+"""Prepares a session: the package importable on executors, wherever the driver was started from, and batches small.
+
+An Arrow batch is held by the executor and by its Python worker at once; texts are long, so a batch is bounded by bytes.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +13,13 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
 
 def ship(spark: SparkSession) -> None:
-    """Add the package's sources to the job, once per application."""
+    """Add the package's sources to the job, once per application, and bound Arrow batches unless the user has."""
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
