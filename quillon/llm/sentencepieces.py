@@ -18,6 +18,7 @@ U+2581 is encoded as a space, as the public library does, and so is the one char
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
 
@@ -36,16 +37,16 @@ _RUNS = re.compile(rf"{MARK}+[^{MARK}]*").findall
 #: An unknown character of a unigram model scores this much below the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Bounds of what a process remembers: ids of recent units, and pairs of pieces known to be stable or not.
-REMEMBERED, PAIRS, SHORT = 120_000, 400_000, 48
+REMEMBERED, PAIRS, SHORT = 240_000, 400_000, 48
 
 
 class _Memory(dict):
-    """What a function gave for recent keys: at least the last `most` of them, at most twice as many."""
+    """Packed ids of recent units: at least the last `most` of them, at most twice as many."""
 
-    def __init__(self, make: Callable[[str], tuple[int, ...]], most: int = REMEMBERED) -> None:
+    def __init__(self, make: Callable[[str], bytes], most: int = REMEMBERED) -> None:
         self.make, self.most, self.older = make, most, {}
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
+    def __missing__(self, key: str) -> bytes:
         got = self.older.get(key)
         if got is None:
             got = self.make(key)
@@ -233,19 +234,19 @@ class Model:
                 out.append(self.unknown)
         return out, path[0][1] if path else -1
 
-    def _unit(self, unit: str) -> tuple[int, ...]:
-        """Ids of the text between two boundaries where all paths meet."""
+    def _unit(self, unit: str) -> bytes:
+        """Packed ids of the text between two boundaries where all paths meet."""
         cut = len(unit)
         while cut > 1 and (unit[cut - 2], unit[cut - 1]) not in self.inside:
             cut -= 1
         if cut < len(unit):
-            return self.bare[unit[:cut]] + tuple(chain.from_iterable(map(self.bare.__getitem__, unit[cut:])))
+            return b"".join([self.bare[unit[:cut]], *map(self.bare.__getitem__, unit[cut:])])
         if len(unit) <= SHORT and self.kind != UNIGRAM:
-            return self._short(unit)
+            return array("I", self._short(unit)).tobytes()
         step = 4 * self.longest
-        return tuple(chain.from_iterable(self.stream(unit[at : at + step] for at in range(0, len(unit), step))))
+        return array("I", chain.from_iterable(self.stream(unit[at : at + step] for at in range(0, len(unit), step)))).tobytes()
 
-    def _short(self, unit: str) -> tuple[int, ...]:
+    def _short(self, unit: str) -> list[int]:
         """stream() for a unit that fits a window whole, run forwards from each state."""
         n, root, stable, pieces = len(unit), self.root[1], self.stable, self.pieces
         token, start = [-2] * (n + 1), [0] * (n + 1)
@@ -272,34 +273,38 @@ class Model:
         out, at = [], n
         while at:
             if token[at] < 0:
-                return tuple(self._walk(unit, [(j - start[j], token[j]) for j in range(n + 1)], n)[0])
+                return self._walk(unit, [(j - start[j], token[j]) for j in range(n + 1)], n)[0]
             out.append(token[at])
             at = start[at]
         out.reverse()
-        return tuple(out)
+        return out
 
-    def encode(self, text: str | None) -> list[int]:
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a text as unsigned 32-bit words."""
         if not text:
-            return []
+            return b""
         if not self.words_apart:
-            return list(chain.from_iterable(self.stream([MARK + text.replace(" ", MARK)])))
-        out: list[int] = []
+            return array("I", chain.from_iterable(self.stream([MARK + text.replace(" ", MARK)]))).tobytes()
+        out: list[bytes] = []
         if MARK in text:
             text = text.replace(MARK, " ")
         for n, line in enumerate(text.split("\n") if self.lines_apart else [text]):
             if n:
-                out += self.bare["\n"]
+                out.append(self.bare["\n"])
             # A word mark stands before the text and for every space.
             words = line.split(" ")
             if n == 0:
                 words.insert(0, "")
             if words[0]:
-                out += self.bare[words[0]]
+                out.append(self.bare[words[0]])
             if "" in words[1:]:  # several marks in a row belong to one unit
-                out += chain.from_iterable(map(self.bare.__getitem__, _RUNS("".join(MARK + w for w in words[1:]))))
+                out += map(self.bare.__getitem__, _RUNS("".join(MARK + w for w in words[1:])))
             else:
-                out += chain.from_iterable(map(self.marked.__getitem__, words[1:]))
-        return out
+                out += map(self.marked.__getitem__, words[1:])
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.packed(text), np.uint32).tolist()
 
     def decode(self, ids: Sequence[int]) -> str:
         if self.high.isdisjoint(ids):  # a byte under 128 is a character of its own wherever it stands
@@ -346,10 +351,10 @@ def with_token_ids(docs: DataFrame, model_path: str = MODEL, text_col: str = "te
                 part = batch.slice(low, 512)
                 rows, sizes, same = [], [0], []
                 for text in values(part.column(at)):
-                    ids = model.encode(text)
-                    rows.append(np.array(ids, np.int32))
+                    ids = np.frombuffer(model.packed(text), np.uint32)
+                    rows.append(ids.astype(np.int32))
                     sizes.append(len(ids))
-                    same.append(model.decode(ids) == (text or ""))
+                    same.append(model.decode(ids.tolist()) == (text or ""))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(np.concatenate(rows)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(np.array(sizes[1:], np.int64)), pa.array(same, pa.bool_())], names)
 
