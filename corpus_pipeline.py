@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import benchmarks, sentencepieces, simhash, substrings, toxicity
+from quillon.llm import benchmarks, near_copies, sentencepieces, substrings, toxicity
 from quillon.shipping import ship
 from quillon.sources import scratch
 
@@ -27,9 +27,9 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that with the smallest id."""
+    """One document of each group of near copies (five words, Jaccard 0.8) stays, that with the smallest id."""
     ship(spark)
-    return simhash.simhash_dedup(docs)
+    return near_copies.without_near_copies(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
