@@ -6,15 +6,15 @@ is written per step, and a random bit of that word and step says whether the poi
 differ by an edit fall into step again soon after it, so most steps write the same words.
 
 Locality-sensitive hashing samples some steps of a walk into one key; the keys of all tables and walks together
-reach the target recall. Windows are as long as the item, or as ITEM_WINDOW words of a longer one, which is searched
-by its first and its last such words. A walk that has met many edits rarely falls into step again within so few
-words, so a window is embedded from each of its words: a copy meets the index wherever one stretch of it is in step.
+reach the target recall. Windows are as long as the item, however long it is. A walk that has met many edits rarely falls into
+step again within a few words, so an item is embedded from each of its words: a copy meets the index wherever one
+stretch of it is in step.
 Texts are embedded from every word; all walks of a batch advance together, a step being a few array operations.
-Candidates are verified by the exact edit distance of the whole window to the best matching stretch of the text; at
+Candidates are verified by the exact edit distance of the whole item to the best matching stretch of the text; at
 most a share `edits` of its words may differ.
 
-The index of the items is broadcast after a check of its size; items beyond it are indexed and searched in further
-passes over the texts, so no item is dropped.
+The index of the items is broadcast after a check of its items and words; items beyond it are indexed and searched in
+further passes over the texts, so no item is dropped.
 
 Defined results: null and empty texts and items have no words and match nothing; items of fewer than LEAST_WORDS
 words are too short to be evidence and match nothing; items repeated under several ids are each reported; texts of any
@@ -36,15 +36,16 @@ from pyspark.sql import functions as F
 
 from quillon.llm.batches import values
 
+#: ITEM_WINDOW: items up to so many words have been measured at each edit rate; it bounds nothing.
 LEAST_WORDS, ITEM_WINDOW = 5, 32
 EDITS = 0.2
 #: Independent walks, tables of each, sampled steps in a key.
 WALKS, TABLES, SAMPLED = 2, 2, 6
-#: Steps that keys are sampled from, and the longest windows that are keyed so: in a short window an edit leaves no long
+#: Steps that keys are sampled from, and the longest items that are keyed so: in a short item an edit leaves no long
 #: stretch in step, so it is keyed on fewer steps too.
-STEPS = {14: ITEM_WINDOW, 8: 15, 4: 7}
-#: Items of one broadcast index: some ten MB.
-ITEMS_AT_ONCE = 10_000
+STEPS = {14: None, 8: 15, 4: 7}
+#: Items and words of one broadcast index: some ten MB; a longer item is one alone.
+ITEMS_AT_ONCE, ITEM_WORDS_AT_ONCE = 10_000, 640_000
 WORDS_AT_ONCE = 1 << 16
 FILTER_SHARE = 9
 
@@ -87,7 +88,7 @@ class Index:
         self.windows: list[tuple[int, list[str]]] = []
         for item, words in items:
             if len(words) >= LEAST_WORDS:
-                self.windows += [(item, words[at : at + ITEM_WINDOW]) for at in sorted({0, max(0, len(words) - ITEM_WINDOW)})]
+                self.windows.append((item, words))
         self.masks = [_masks(w) for _, w in self.windows]
         self.back_masks = [_masks(w[::-1]) for _, w in self.windows]
         hasher = _Hasher()
@@ -99,7 +100,7 @@ class Index:
         #: (walk, steps) -> [(sampled steps, filter, sorted keys, their windows, their offsets)].
         self.tables: dict[tuple[int, int], list[tuple]] = {}
         for steps, longest in STEPS.items():
-            keyed = sizes <= longest
+            keyed = sizes <= longest if longest else np.ones(len(sizes), bool)
             if not keyed.any():
                 break
             for walk in range(WALKS):
@@ -221,14 +222,16 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def _indexes(items: DataFrame, item_col: str, item_text_col: str, edits: float) -> list[Index]:
-    """Indexes of all items, ITEMS_AT_ONCE in each."""
-    out, part = [], []
+    """Indexes of all items, ITEMS_AT_ONCE of ITEM_WORDS_AT_ONCE words in each."""
+    out, part, held = [], [], 0
     rows = items.select(F.col(item_col).cast("long"), item_text_col).where(f"`{item_text_col}` IS NOT NULL").distinct().orderBy(item_col, item_text_col)
     for item, text in rows.toLocalIterator():
-        part.append((item, words_of(text)))
-        if len(part) == ITEMS_AT_ONCE:
+        words = words_of(text)
+        if part and (len(part) == ITEMS_AT_ONCE or held + len(words) > ITEM_WORDS_AT_ONCE):
             out.append(Index(part, edits))
-            part = []
+            part, held = [], 0
+        part.append((item, words))
+        held += len(words)
     return [*out, Index(part, edits)] if part or not out else out
 
 

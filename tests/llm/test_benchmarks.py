@@ -52,6 +52,31 @@ def test_recall_of_edited_copies(prose, rate, least):
     assert all(items[t][0] == i for t, i in found)
 
 
+@pytest.mark.parametrize("length", [36, 40, 50, 100, 200, 700])
+def test_long_items_edited_by_their_full_length(prose, length):
+    """Copies with exactly a fifth of the item's words replaced, and texts that share only 32 words of it."""
+    r, items = random.Random(length), [(i, prose(i, length).split()) for i in range(60)]
+    index, words, texts = b.Index(items), prose(999, 4000).split(), []
+    for _, item in items:
+        copy = list(item)
+        for p in r.sample(range(length), int(b.EDITS * length)):
+            copy[p] = "other"
+        texts.append(words[: r.randrange(300)] + copy + words[300:350])
+    found = {(t, i): edits for t, i, _, _, edits in index.search(texts, b._Hasher())}
+    assert all(t == i and edits <= int(b.EDITS * length) for (t, i), edits in found.items())
+    assert len(found) >= 0.97 * len(items)
+    if length >= 50:
+        assert not list(index.search([words[:50] + item[:32] + words[50:100] for _, item in items], b._Hasher()))
+
+
+def test_index_of_many_words(spark, make_docs, prose, monkeypatch):
+    monkeypatch.setattr(b, "ITEM_WORDS_AT_ONCE", 100)
+    items = spark.createDataFrame([(i, prose(i, 40 + 30 * i)) for i in range(6)], "item_id long, text string")
+    docs = make_docs([prose(50, 20) + " " + prose(i, 40 + 30 * i) for i in range(6)])
+    assert len(b._indexes(items, "item_id", "text", b.EDITS)) == 6
+    assert {(r.doc_id, r.item_id) for r in b.leaks(docs, items).collect()} == {(i, i) for i in range(6)}
+
+
 def test_equals_brute_force_on_exact_copies(spark, make_docs, prose):
     items = [(i, prose(i, 12 + 5 * i)) for i in range(8)] + [(50, "too short here"), (51, None), (52, ""), (53, prose(2, 22))]
     texts = [prose(100 + k, 150) for k in range(20)]
