@@ -1,8 +1,8 @@
 """Substring dedup by content-defined chunking.
 
 1. A gear rolling hash over the last 16 bytes marks places to cut, at the ends of words (characters of scripts without
-   spaces count as words). A cut depends on the bytes around it alone, so a passage is cut alike wherever it stands
-   and insertions before it shift nothing.
+   spaces count as words), and at the end of any character once UNSPACED bytes have no white space. A cut depends on
+   the bytes around it alone, so a passage is cut alike wherever it stands and insertions before it shift nothing.
 2. Chunks are counted by digest, pre-aggregated before the shuffle; only digests seen more than once go on, and only
    the places of such chunks are joined back. A common chunk's places are never gathered: each is compared with the
    smallest place of its digest.
@@ -17,6 +17,7 @@ length are chunked whole, block by block.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,7 @@ from quillon.sources.scratch import materialize
 
 WINDOW, CUT_BITS = 16, 2
 SHORTEST, LONGEST = 12, 160
+UNSPACED = 48
 MIN_WORDS = 20
 BLOCK = 4 << 20
 NULL_ID = -(1 << 63)
@@ -48,6 +50,11 @@ def _gear(seed: int = 42) -> np.ndarray:
 
 GEAR = _gear()
 SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Second bytes of scripts without spaces: Thai, Lao and Tibetan after E0, Burmese and Khmer after E1.
+AFTER_E0, AFTER_E1 = np.isin(np.arange(256), range(0xB8, 0xC0)), np.isin(np.arange(256), [0x80, 0x81, 0x82, 0x9E, 0x9F])
+#: Characters of scripts without spaces (kana and Han besides), and ideographic and full-width punctuation.
+_CHARACTER = re.compile(rb"\xE0[\xB8-\xBF].|\xE1[\x80-\x82\x9E\x9F].|\xE3[\x81-\xBF].|[\xE4-\xE9]..|\xEF[\xA4-\xAB].|\xF0[\xA0-\xBF]..", re.DOTALL)
+_MARK = re.compile(rb"\xE3\x80.|\xEF\xBC.", re.DOTALL)
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -59,16 +66,28 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def n_words(chunk: bytes) -> int:
+    """Words between white space; characters of scripts without spaces are words."""
+    if chunk.isascii():
+        return len(chunk.split())
+    rest, characters = _CHARACTER.subn(b" ", chunk)
+    return characters + len(_MARK.sub(b" ", rest).split())
+
+
 def cut_places(data: np.ndarray) -> np.ndarray:
     """Ends of possible chunks."""
     found = []
     for at in range(0, len(data), BLOCK):
-        low = max(0, at - WINDOW)
+        low = max(0, at - UNSPACED)
         part = data[low : at + BLOCK + 1]
         marked = (gear_hash(part) >> np.uint32(WINDOW - 1)) & np.uint32((1 << CUT_BITS) - 1) == 0
         word_end = SPACES[part]
-        if (wide := part >= 0xE3).any():  # three or four bytes: ends two or three bytes on, before a new character
-            last = np.r_[(part[1:] & 0xC0) != 0x80, True]
+        place, last = np.arange(len(part)), np.r_[(part[1:] & 0xC0) != 0x80, True]
+        long = place - np.maximum.accumulate(np.where(word_end, place, -1)) >= UNSPACED
+        word_end = word_end | (long & last)
+        after, wide = np.r_[part[1:], np.uint8(0)], part >= 0xE3
+        wide |= ((part == 0xE0) & AFTER_E0[after]) | ((part == 0xE1) & AFTER_E1[after])
+        if wide.any():  # three or four bytes: ends two or three bytes on, before a new character
             word_end = word_end | (np.r_[False, False, wide[:-2]] & last) | (np.r_[False, False, False, part[:-3] >= 0xF0] & last)
         ends = np.flatnonzero(marked & word_end) + 1 + low
         found.append(ends[(ends > at) & (ends <= at + BLOCK)])
@@ -93,11 +112,13 @@ def chunk_ends(data: bytes | np.ndarray, places: np.ndarray | None = None) -> li
 
 def _forced_end(raw: np.ndarray, start: int) -> int:
     """Where to cut if nothing is marked up to LONGEST: the word end with the least hash, the last of equals, so that
-    text which repeats itself is cut at one phase; without word ends, before a character."""
+    text which repeats itself is cut at one phase; without word ends, the end of a character by the same rule."""
     low = start + SHORTEST
     part = raw[low - WINDOW if low >= WINDOW else 0 : start + LONGEST]
     skip = low - max(0, low - WINDOW)
     ends = np.flatnonzero(SPACES[part][skip:])
+    if not len(ends):
+        ends = np.flatnonzero((raw[low + 1 : start + LONGEST + 1] & 0xC0) != 0x80)
     if len(ends):
         hashes = gear_hash(part)[skip:][ends]
         return low + int(ends[len(ends) - 1 - hashes[::-1].argmin()]) + 1
@@ -127,7 +148,7 @@ def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         chunk = data[start:end]
                         digests.append(digest_of(chunk))
                         places.append(n << 40 | start)
-                        extents.append(len(chunk) << 12 | min(4095, len(chunk.split())))
+                        extents.append(len(chunk) << 12 | min(4095, n_words(chunk)))
                         start = end
                     ids += [doc] * len(ends)
                     hashes += [key] * len(ends)

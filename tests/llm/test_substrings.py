@@ -90,6 +90,36 @@ def test_insertions_do_not_shift_chunks(prose):
     assert len(digests(data) & digests(moved)) >= len(digests(data)) - 3
 
 
+SCRIPTS = {"thai": (0x0E01, 0x0E2E), "lao": (0x0E94, 0x0EA3), "khmer": (0x1780, 0x17A2), "burmese": (0x1000, 0x1021), "han": (0x4E00, 0x9FA0), "ascii": (0x41, 0x5A)}
+
+
+def unspaced(script, seed, n):
+    r = np.random.default_rng(seed)
+    return "".join(map(chr, r.integers(SCRIPTS[script][0], SCRIPTS[script][1] + 1, n)))
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_insertions_do_not_shift_unspaced_chunks(script):
+    text = unspaced(script, 1, 1500)
+    data, moved = text.encode(), (unspaced(script, 2, 13) + text).encode()
+    first, second = ({d[a:b] for d in (x,) for a, b in zip([0, *s.chunk_ends(d)], s.chunk_ends(d))} for x in (data, moved))
+    assert len(first & second) >= len(first) - 8
+
+
+@pytest.mark.parametrize("script, n", [("thai", 100), ("lao", 100), ("khmer", 100), ("burmese", 100), ("han", 60), ("ascii", 700)])
+def test_unspaced_passages_are_found(spark, make_docs, script, n):
+    passage = unspaced(script, 5, n)
+    docs = make_docs([unspaced(script, 10 + i, 90 + 7 * i) + passage + unspaced(script, 30 + i, 90) for i in range(6)])
+    found = {r.id: (r.start_byte, r.end_byte) for r in s.repeats(docs).collect()}
+    assert set(found) == {1, 2, 3, 4, 5}
+    width = len(passage.encode()) // n
+    assert all((90 + 7 * i) * width <= a and b <= (90 + 7 * i + n + 3) * width and b - a >= n * width // 2 for i, (a, b) in found.items())
+
+
+def test_characters_of_unspaced_scripts_are_words():
+    assert [s.n_words(x.encode()) for x in ("two words", "né à l'été", "日本語の文章", "ภาษาไทย", "한국어 문장", "GPU 計算。", "")] == [2, 3, 6, 7, 2, 3, 0]
+
+
 def test_cut_texts(spark, make_docs, prose):
     passage = prose(7, 70, 4000)
     docs = make_docs([(1, prose(1, 50, 4000) + "\n" + passage), (2, "Début " + prose(2, 50, 4000) + "\n" + passage + "\n" + prose(3, 50, 4000)), (3, prose(4, 90, 4000)), (4, None), (5, prose(1, 50, 4000) + "\n" + passage)]).selectExpr("*", "7 AS cuts_", "'x' AS id")
