@@ -31,5 +31,5 @@ def debounced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("retrain_times")
 def retrain_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retraining of one person's labels: a sequence, settled in one task."""
-    return changes.retrain_times(view(spark, sf_dir, "item").where("user_id = 7").select("t"))
+    """Retraining by each person's labels: a sequence a person, all events."""
+    return changes.retrain_times(view(spark, sf_dir, "item").select("user_id", "t"), "user_id")

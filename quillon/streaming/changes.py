@@ -75,14 +75,17 @@ def debounce(signals: DataFrame, quiet_ms: int = DEBOUNCE_MS, max_wait_ms: int =
     return held.select("root_id", F.inline(F.aggregate("ts", start, step, end)))
 
 
-def retrain_times(labels: DataFrame) -> DataFrame:
+def retrain_times(labels: DataFrame, key_col: str | None = None) -> DataFrame:
     """t, pending: when a model is retrained by a stream of labels (t, one by one): at once with 50 new labels, or with 10
-    once the user has paused for two minutes."""
-    ordered = labels.agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    once the user has paused for two minutes. With key_col (a long), that of each key by its own labels alone."""
+    ts = F.array_sort(F.collect_list("t")).alias("ts")
+    keyed = labels.select(F.col(key_col).cast("long").alias("key"), "t").groupBy("key") if key_col else labels.groupBy(F.lit(0).cast("long").alias("key"))
+    # No label gives no row, with or without keys.
+    ordered = keyed.agg(ts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for ts in rows["ts"]:
+            for key, ts in zip(rows["key"].astype("Int64"), rows["ts"]):
                 pending, last, out = 0, None, []
                 for t in ts:
                     if last is not None and t - last >= RETRAIN_IDLE_MS and pending >= RETRAIN_IDLE_LABELS:
@@ -94,9 +97,12 @@ def retrain_times(labels: DataFrame) -> DataFrame:
                         pending = 0
                 if pending >= RETRAIN_IDLE_LABELS:
                     out.append((last + RETRAIN_IDLE_MS, pending))
-                yield pd.DataFrame(out, columns=["t", "pending"]).astype("int64")
+                found = pd.DataFrame(out, columns=["t", "pending"]).astype("int64")
+                found.insert(0, "key", pd.array([key] * len(out), dtype="Int64"))
+                yield found
 
-    return ordered.mapInPandas(run, "t long, pending long")
+    fired = ordered.mapInPandas(run, "key long, t long, pending long")
+    return fired.withColumnRenamed("key", key_col) if key_col else fired.drop("key")
 
 
 def stream_retrain(labels: DataFrame) -> DataFrame:

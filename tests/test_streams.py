@@ -57,6 +57,25 @@ def test_retraining(spark):
     assert got == [(49_000, 50), (59_000 + c.RETRAIN_IDLE_MS, 10)]
 
 
+def test_retraining_of_all_users(spark):
+    """The query takes every user's events, each by themselves; a null key is a key too."""
+    from quillon.plans.stream_queries import retrain_times
+    from quillon.sources.views import view
+
+    sf = "/root/testdata/sf0.001"
+    events = {}
+    for r in view(spark, sf, "item").select("user_id", "t").collect():
+        events.setdefault(r.user_id, []).append(r.t)
+    expected = sorted((u, r.t, r.pending) for u, ts in list(events.items())[:3] for r in c.retrain_times(spark.createDataFrame([(t,) for t in ts], "t long")).collect())
+    got = retrain_times(spark, sf)
+    assert got.columns == ["user_id", "t", "pending"]
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(r for r in rows if r[0] in list(events)[:3]) == expected
+    assert len({r[0] for r in rows}) > 1
+    labels = spark.createDataFrame([(k, i * 1_000) for k in (1, None) for i in range(12)], "who long, t long")
+    assert sorted(((r.who, r.t, r.pending) for r in c.retrain_times(labels, "who").collect()), key=str) == sorted([(1, 11_000 + c.RETRAIN_IDLE_MS, 12), (None, 11_000 + c.RETRAIN_IDLE_MS, 12)], key=str)
+
+
 def test_retrain_stream(spark, tmp_path):
     spark.createDataFrame([(1, i) for i in range(120)] + [(2, 1)], "user_id long, t long").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("user_id long, t long").parquet(str(tmp_path / "in"))
