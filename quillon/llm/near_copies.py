@@ -1,16 +1,20 @@
 """Near copies by the share of common word shingles: Jaccard AT_LEAST or more over shingles of SHINGLE words.
 
-1. Equal texts are one node. A node's shingle hashes are reduced to BANDS * ROWS minima; the minima of a band make a
-   key. Two texts of Jaccard j share one of the keys with a chance of 1 - (1 - j^ROWS)^BANDS: 0.9996 at 0.8.
-2. Within a key, texts are compared by a byte of each minimum; pairs whose share of equal bytes is under FLOOR (four
-   standard deviations under AT_LEAST) are dropped, the others are candidates. Keys with many nodes are dealt out as
-   pairs of bounded tiles.
-3. Candidates are settled by the exact Jaccard of their shingle sets. A node first meets its nearest earlier nodes; in
-   each further round those of other components alone, eight times as many, until no untried candidate joins two
-   components. So large groups take about one comparison a text, and no candidate is left out.
+Operator 7's fingerprints and bit-sliced comparison, at the radius that such a similarity needs:
+
+1. Equal texts are one node. A node's fingerprint has WORDS * 64 bits, each the majority of that bit over the hashes of
+   its distinct shingles. At a Jaccard of 0.8 about 15 % of the bits differ, far more than pigeonhole keys can bear, so
+   nodes meet by minima of their shingle hashes: ROWS minima are a key and there are BANDS keys. Two texts of Jaccard j
+   share a key with a chance of 1 - (1 - j^ROWS)^BANDS: 0.9996 at 0.8.
+2. All nodes of a key are first held against the least of them, one pair a node. That settles most groups of copies.
+3. Keys whose nodes still belong to different components are dealt out as pairs of bounded tiles and compared
+   bit-sliced; pairs within RADIUS bits are candidates (at Jaccard 0.8 four standard deviations are within it).
+4. Candidates are settled by the exact Jaccard of their shingle sets. A node first meets its nearest nodes; in each
+   further round those of other components alone, eight times as many, until no untried candidate joins two
+   components. No candidate is left out.
 
 Defined results: null texts are empty; texts without words are copies of each other; texts with fewer words than a
-shingle are one shingle.
+shingle are one shingle; rows with a null id stay; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -23,18 +27,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.batches import values
-from quillon.llm.simhash import _last_run, _runs
+from quillon.llm.batches import tasks, unused, values
+from quillon.llm.simhash import _last_run, _runs, lanes_set, majority, planes, within
 from quillon.operators.graph import connected_components
 from quillon.sources.scratch import materialize
 
-SHINGLE, AT_LEAST, FLOOR = 5, 0.8, 0.64
+SHINGLE, AT_LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
+WORDS, RADIUS = 2, 40
 SEED, TILE = 42, 4096
+#: (query, block) pairs that are compared at once; bounds a task's memory.
+AT_ONCE = 1 << 14
 
 _random = np.random.default_rng(SEED)
 _XOR = _random.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
 _ODD = _random.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bits in an order that visits all bytes early: a block is abandoned as soon as all of its lanes differ enough.
+_ORDER = [w * 64 + i for i in range(64) for w in range(WORDS)]
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -63,27 +72,75 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprint(hashes: np.ndarray) -> list[int]:
+    """WORDS fingerprints of 64 bits of distinct shingle hashes, each from hashes mixed anew."""
+    out = []
+    for w in range(WORDS):
+        out.append(majority(hashes) if len(hashes) else 0)
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * w)
+        hashes = hashes ^ (hashes >> np.uint64(29))
+    return out
+
+
 def _sketches(nodes: DataFrame) -> DataFrame:
-    """node, keys (one of each band), sketch (a byte of each minimum) of node and text."""
+    """node, keys (one of each band) and the words of the fingerprint, of node and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sketches = [], []
-            for text in values(batch.column(1)):
-                low = minima(shingles(text))
-                rows = low.astype("<u8").tobytes()
-                keys.append([xxhash.xxh64_intdigest(rows[k : k + 8 * ROWS]) - (1 << 63) for k in range(0, len(rows), 8 * ROWS)])
-                sketches.append(((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["node", "keys", "sketch"])
-
-    return nodes.select("node", "text").mapInArrow(run, "node long, keys array<long>, sketch binary")
-
-
-def _candidates(keyed: DataFrame, most: int) -> DataFrame:
-    """Pairs a, b of nodes of one key and different labels that may be near copies: to each node a the `most` likeliest
-    nodes b before it of each tile. keyed: t, key, ta, tb, own, node, label, sketch."""
-    dealt = keyed.select("t", "key", "ta", "tb", "own", "node", "label", "sketch").repartition("t", "key", "ta", "tb").sortWithinPartitions("t", "key", "ta", "tb", "node")
-    need = int(np.ceil(FLOOR * BANDS * ROWS))
+            keys, prints = [], np.empty((batch.num_rows, WORDS), np.uint64)
+            for i, text in enumerate(values(batch.column(1))):
+                hashes = shingles(text)
+                rows = minima(hashes).astype("<u8").tobytes()
+                keys.append(np.array([xxhash.xxh64_intdigest(rows[k : k + 8 * ROWS]) for k in range(0, len(rows), 8 * ROWS)], np.uint64).view(np.int64))
+                prints[i] = fingerprint(hashes)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, *(pa.array(np.ascontiguousarray(prints[:, w]).view(np.int64)) for w in range(WORDS))], ["node", "keys", "f0", "f1"])
+
+    return nodes.select("node", "text").mapInArrow(run, "node long, keys array<long>, f0 long, f1 long")
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, distance: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the `most` nearest of their a."""
+    order = np.lexsort((b, distance, a))
+    a = a[order]
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
+    rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.r_[starts, len(a)]))
+    return order[rank < most]
+
+
+def near_pairs(prints: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows a > b of different labels within RADIUS bits, one of left and one of right; of each a the `most` nearest."""
+    vertical, same = planes(prints[right]), left is right
+    found = [np.empty((3, 0), np.int64)]
+    per = max(1, AT_ONCE // len(vertical))
+    for at in range(0, len(left), per):
+        rows = np.arange(at, min(at + per, len(left)))
+        first = at // 64 if same else 0  # of the same tile, only lanes after the query
+        q, b = np.repeat(rows, len(vertical) - first), np.tile(np.arange(first, len(vertical)), len(rows))
+        u, v = lanes_set(*within(prints[left], vertical, q, b, RADIUS, _ORDER))
+        good = v < len(right)
+        u, v = left[u[good]], right[v[good]]
+        good = (label[u] != label[v]) & ((v > u) if same else (v != u))
+        high, low = np.maximum(u, v)[good], np.minimum(u, v)[good]
+        distance = np.bitwise_count(prints[high] ^ prints[low]).sum(1, dtype=np.int64)
+        chosen = _nearest(high, low, distance, most)
+        found.append(np.stack([high[chosen], low[chosen], distance[chosen]]))
+    high, low, distance = np.concatenate(found, axis=1)
+    chosen = _nearest(high, low, distance, most)
+    return high[chosen], low[chosen]
+
+
+def _candidates(labelled: DataFrame, most: int) -> DataFrame:
+    """Pairs a, b of nodes of one key and different labels that may be near copies: to each node the `most` nearest nodes
+    of each tile. labelled: t, key, node, label, f0, f1; every node of keys that have several labels."""
+    mixed = labelled.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    tiled = (
+        labelled.join(mixed.select("t", "key", F.ceil(F.col("n") / TILE).cast("int").alias("g")), ["t", "key"])
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+        .withColumn("s", F.explode(F.expr("sequence(0, g - 1)")))
+        .select("t", "key", F.least("own", "s").alias("ta"), F.greatest("own", "s").alias("tb"), "own", "node", "label", "f0", "f1")
+    )
+    dealt = tiled.repartition(tasks(labelled.sparkSession), "t", "key", "ta", "tb").sortWithinPartitions("t", "key", "ta", "tb", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -98,27 +155,17 @@ def _candidates(keyed: DataFrame, most: int) -> DataFrame:
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
-        t, key, ta, tb, own, node, label = (table.column(i).to_numpy() for i in range(7))
-        marks = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        t, key, ta, tb, own, node, label, *words = (table.column(i).to_numpy() for i in range(7 + WORDS))
+        prints = np.stack(words, axis=1).view(np.uint64)
         starts = _runs(t, key, ta, tb)
         for s, e in zip(starts, [*starts[1:], table.num_rows]):
             if (label[s:e] == label[s]).all():
                 continue
-            left, right = (np.flatnonzero(own[s:e] == x[s]) + s for x in (ta, tb))
-            for one, other in ((left, right),) if ta[s] == tb[s] else ((left, right), (right, left)):
-                a, b = [], []
-                for i in one.tolist():  # rows are in order of their nodes
-                    before = other[: np.searchsorted(other, i)]
-                    before = before[label[before] != label[i]]
-                    if len(before):
-                        equal = (marks[before] == marks[i]).sum(1)
-                        near = np.flatnonzero(equal >= need)
-                        if len(near) > most:
-                            near = near[np.argpartition(-equal[near], most - 1)[:most]]
-                        a += [node[i]] * len(near)
-                        b += node[before[near]].tolist()
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            everyone = np.arange(e - s)
+            left, right = (everyone, everyone) if ta[s] == tb[s] else (np.flatnonzero(own[s:e] == x[s]) for x in (ta, tb))
+            if len(left) and len(right):
+                a, b = near_pairs(prints[s:e], label[s:e], left, right, most)
+                yield pa.RecordBatch.from_arrays([pa.array(node[s:e][a]), pa.array(node[s:e][b])], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -127,7 +174,7 @@ def _settled(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs a, b whose texts are near copies. texts: node and text, one row a node."""
     own = pairs.select("a").distinct().join(texts, F.col("a") == F.col("node")).select("a", F.lit(None).cast("long").alias("b"), "text")
     met = pairs.join(texts, F.col("b") == F.col("node")).select("a", "b", "text")
-    dealt = own.unionByName(met).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    dealt = own.unionByName(met).repartition(tasks(pairs.sparkSession), "a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.empty(0, np.uint64)
@@ -147,40 +194,34 @@ def near_copy_groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """node (xxhash64 of a text), root (of its component; for nodes that aren't its smallest)."""
     texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketches = materialize(_sketches(texts), "sketches")
-    rows = sketches.dropDuplicates(["node"]).select("node", F.posexplode("keys").alias("t", "key"), "sketch")
-    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = materialize(
-        rows.join(sizes, ["t", "key"])
-        .withColumn("g", F.ceil(F.col("n") / TILE).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-        .withColumn("s", F.explode(F.expr("sequence(0, g - 1)")))
-        .select("t", "key", F.least("own", "s").alias("ta"), F.greatest("own", "s").alias("tb"), "own", "node", "sketch"),
-        "near-keys",
-    )
-    needed = keyed.select("node").distinct()
-    held = materialize(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
-    tried = linked = roots = None
+    rows = sketches.dropDuplicates(["node"]).select("node", F.posexplode("keys").alias("t", "key"), "f0", "f1")
+    # A key's nodes and, pre-aggregated, how many they are and the least of them.
+    sizes = rows.select("t", "key", "node").groupBy("t", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    keyed = materialize(rows.join(sizes.drop("n"), ["t", "key"]), "near-keys")
+    held = materialize(texts.join(keyed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "near-texts")
+    pairs = materialize(keyed.where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "near-pairs")
+    tried = linked = None
     most = 1
     while True:
-        labelled = keyed.withColumn("label", F.col("node")) if roots is None else keyed.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
-        pairs = _candidates(labelled, most)
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if tried is not None and pairs.isEmpty():
-            return roots
         good = materialize(_settled(pairs, held), "near-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         linked = good if linked is None else linked.unionByName(good)
         roots = connected_components(linked).select("node", "root")
+        labelled = keyed.join(roots, "node", "left").select("t", "key", "node", F.coalesce("root", "node").alias("label"), "f0", "f1")
+        pairs = materialize(_candidates(labelled, most).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        if pairs.isEmpty():
+            return roots
         most *= 8
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its group of near copies; of rows of one group with that id, one
     stays. Rows with a null id stay."""
-    marked = docs.withColumn("_node", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    places = marked.select(F.col(id_col).cast("long").alias("_id"), "_node").distinct()
-    rooted = places.join(near_copy_groups(docs, text_col), F.col("_node") == F.col("node"), "left").select("_id", "_node", F.coalesce("root", "_node").alias("_root"))
-    least = rooted.groupBy("_root").agg(F.min("_id").alias("_least"))
-    keep = rooted.join(least, "_root").where("_id = _least").groupBy("_root", "_id").agg(F.min("_node").alias("_kept")).select(F.col("_id").alias("_kept_id"), "_kept")
-    stays = marked.join(keep, (F.col("_node") == F.col("_kept")) & (F.col(id_col).cast("long") == F.col("_kept_id")), "left_semi")
-    return stays.dropDuplicates([id_col, "_node"]).drop("_node").unionByName(docs.where(F.col(id_col).isNull()))
+    own, kept_id, kept = unused(docs, "own_node", "kept_id", "kept_node")
+    marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    places = marked.select(F.col(id_col).cast("long").alias("id"), F.col(own).alias("node")).distinct()
+    rooted = places.join(near_copy_groups(docs, text_col), "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("id").alias("least"))
+    keep = rooted.join(least, "root").where("id = least").groupBy("root", "id").agg(F.min("node").alias(kept)).select(F.col("id").alias(kept_id), kept)
+    stays = marked.join(keep, (F.col(own) == F.col(kept)) & (F.col(id_col).cast("long") == F.col(kept_id)), "left_semi")
+    return stays.dropDuplicates([id_col, own]).drop(own).unionByName(docs.where(F.col(id_col).isNull()))

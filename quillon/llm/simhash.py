@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.batches import values
+from quillon.llm.batches import tasks, unused, values
 from quillon.operators.graph import connected_components
 from quillon.sources.scratch import materialize
 
@@ -47,7 +47,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         return digest(joined, SEED)
     ends = np.cumsum([len(w) + 1 for w in words]).tolist()
     starts = [0, *ends]
-    hashes = np.fromiter((digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[shingle - 1 :])), np.uint64, len(words) - shingle + 1)
+    return majority(np.fromiter((digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[shingle - 1 :])), np.uint64, len(words) - shingle + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)]
@@ -57,14 +61,19 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """id_col and fp (the fingerprint as a signed long), a row for each input row."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("hash"))
+    return _prints(source, shingle).select(F.col("id").alias(id_col), "fp")
+
+
+def _prints(source: DataFrame, shingle: int) -> DataFrame:
+    """id, hash and fp of id, text and hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((fingerprint(t, shingle) for t in values(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], ["id", "hash", "fp"])
 
-    return source.mapInArrow(run, "id long, fp long").withColumnRenamed("id", id_col)
+    return source.select("id", "text", "hash").mapInArrow(run, "id long, hash long, fp long")
 
 
 def masks(radius: int, bits: int = BITS) -> list[int]:
@@ -80,16 +89,17 @@ def _signed(x: int) -> int:
 
 
 def planes(values: np.ndarray) -> np.ndarray:
-    """Vertical layout: [block, bit] words whose lane i is that bit of the block's i-th value."""
-    blocks = -(-len(values) // 64)
-    bits = np.zeros((blocks * 64, BITS), np.uint8)
-    bits[: len(values)] = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    lanes = np.packbits(bits.reshape(blocks, 64, BITS).transpose(0, 2, 1), axis=2, bitorder="little")
-    return np.ascontiguousarray(lanes).view("<u8").reshape(blocks, BITS)
+    """Vertical layout of values [value, word]: [block, bit] words whose lane i is that bit of the block's i-th value."""
+    blocks, width = -(-len(values) // 64), values.shape[1] * 64
+    bits = np.zeros((blocks * 64, width), np.uint8)
+    bits[: len(values)] = np.unpackbits(np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+    lanes = np.packbits(bits.reshape(blocks, 64, width).transpose(0, 2, 1), axis=2, bitorder="little")
+    return np.ascontiguousarray(lanes).view("<u8").reshape(blocks, width)
 
 
 def within(queries: np.ndarray, block_planes: np.ndarray, q: np.ndarray, b: np.ndarray, radius: int, order: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(q, b, lanes) of the (query, block) pairs with a lane within radius; order: the bit positions that can differ."""
+    """(q, b, lanes) of the (query, block) pairs with a lane within radius. queries: [query, word]; order: the bit
+    positions that can differ."""
     count = [np.zeros(len(q), np.uint64) for _ in range(radius.bit_length())]
     bound, over = (1 << radius.bit_length()) - 1 - radius, np.zeros(len(q), np.uint64)
     for k in range(bound):  # start the counters so that they overflow just beyond the radius
@@ -97,7 +107,7 @@ def within(queries: np.ndarray, block_planes: np.ndarray, q: np.ndarray, b: np.n
         for i, c in enumerate(count):
             count[i], carry = c ^ carry, c & carry
     for n, bit in enumerate(order, 1):
-        x = block_planes[b, bit] ^ (np.uint64(0) - ((queries[q] >> np.uint64(bit)) & np.uint64(1)))
+        x = block_planes[b, bit] ^ (np.uint64(0) - ((queries[q, bit >> 6] >> np.uint64(bit & 63)) & np.uint64(1)))
         for i, c in enumerate(count):
             count[i], x = c ^ x, c & x
         over |= x
@@ -109,6 +119,12 @@ def within(queries: np.ndarray, block_planes: np.ndarray, q: np.ndarray, b: np.n
     return q[alive], b[alive], ~over[alive]
 
 
+def lanes_set(q: np.ndarray, b: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, value) of every lane that is set."""
+    hit, lane = np.nonzero(np.unpackbits(lanes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return q[hit], b[hit] * 64 + lane
+
+
 def _join_labels(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
     """Lower label in place until both ends of every link have the same one."""
     while True:
@@ -132,8 +148,7 @@ def _links_of_run(values: np.ndarray, left: np.ndarray, right: np.ndarray, radiu
         q, b, lanes = within(values[left], vertical, q, b, radius, order)
         if not len(q):
             continue
-        hit, lane = np.nonzero(np.unpackbits(lanes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-        u, other = q[hit], b[hit] * 64 + lane
+        u, other = lanes_set(q, b, lanes)
         good = (other < len(right)) & (other > u if same else True)
         _join_labels(label, left[u[good]], right[other[good]])
     return label
@@ -155,7 +170,8 @@ def links(prints: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
         .withColumn("s", F.explode(F.expr("sequence(0, g - 1)")))
         .select("t", "key", F.least("own", "s").alias("ta"), F.greatest("own", "s").alias("tb"), "own", "fp")
     )
-    dealt = shared.repartition("t", "key", "ta", "tb").sortWithinPartitions("t", "key", "ta", "tb", "fp")
+    # A given number of partitions, which adaptive execution doesn't merge by their few bytes: the work is in the pairs.
+    dealt = shared.repartition(tasks(prints.sparkSession), "t", "key", "ta", "tb").sortWithinPartitions("t", "key", "ta", "tb", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -176,7 +192,7 @@ def links(prints: DataFrame, radius: int = 3, tile: int = TILE) -> DataFrame:
         for s, e in zip(starts, [*starts[1:], until]):
             if e - s < 2:
                 continue
-            prints_of_run = fp[s:e].view(np.uint64)
+            prints_of_run = fp[s:e].view(np.uint64)[:, None]
             everyone = np.arange(e - s)
             left, right = (everyone, everyone) if ta[s] == tb[s] else (everyone[own[s:e] == ta[s]], everyone[own[s:e] == tb[s]])
             if not len(left) or not len(right):
@@ -206,17 +222,27 @@ def _last_run(table: pa.Table) -> int:
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """id_col, fp (long), component_id (the smallest id reachable over links), a row for each input row."""
-    prints = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
+    prints = materialize(fingerprints(docs, id_col, text_col, shingle).withColumnRenamed(id_col, "id"), "simhash")
+    return _rooted(prints, radius).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """prints (id, fp and more) with root (a fingerprint of the component) and component_id."""
+    nodes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     member = connected_components(links(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    return prints.join(rooted.join(smallest, "root").select("fp", "root", "component_id"), "fp")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs whose id is the smallest of its group; of repeated rows with that id, all columns being
-    compared, one stays. Rows with a null id stay."""
-    keep = simhash_groups(docs, id_col, text_col, shingle, radius).where(f"`{id_col}` = component_id").select(F.col(id_col).alias("_kept")).distinct()
-    stays = docs.join(keep, docs[id_col].cast("long") == keep["_kept"], "left_semi")
-    return stays.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of docs whose id is the smallest of their group. Of rows with one id and one group, repeated or near
+    copies of each other, one stays: that with the least text hash. Rows with a null id stay."""
+    text_hash, kept_id, kept_hash = unused(docs, "text_hash", "kept_id", "kept_hash")
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    prints = materialize(_prints(rows.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit("")))), shingle), "simhash")
+    keep = _rooted(prints, radius).where("id = component_id").groupBy("root", F.col("id").alias(kept_id)).agg(F.min("hash").alias(kept_hash)).drop("root")
+    marked = docs.withColumn(text_hash, hashed)
+    stays = marked.join(keep, (F.col(id_col).cast("long") == F.col(kept_id)) & (F.col(text_hash) == F.col(kept_hash)), "left_semi")
+    return stays.dropDuplicates([id_col, text_hash]).drop(text_hash).unionByName(docs.where(F.col(id_col).isNull()))

@@ -60,3 +60,28 @@ def test_one_id_on_unrelated_texts(spark, make_docs, prose):
     kept = near_copies.without_near_copies(docs)
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, prose(1, 100)), (1, prose(2, 100)), (None, prose(1, 100))], key=str)
+
+
+def test_nearest_pairs_equal_brute_force():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**63, (6, 2), dtype=np.uint64)
+    prints = base[r.integers(0, 6, 150)] ^ (np.uint64(1) << r.integers(0, 64, (150, 2)).astype(np.uint64))
+    label, own = r.integers(0, 9, 150), r.integers(0, 2, 150)
+    everyone = np.arange(150)
+    for left, right in ((everyone, everyone), (np.flatnonzero(own == 0), np.flatnonzero(own == 1))):
+        distance = {(max(u, v), min(u, v)): sum((int(x) ^ int(y)).bit_count() for x, y in zip(prints[u], prints[v])) for u in left for v in right if label[u] != label[v] and u != v}
+        near = {p: d for p, d in distance.items() if d <= near_copies.RADIUS}
+        assert set(zip(*near_copies.near_pairs(prints, label, left, right, 10**6))) == set(near)
+        few = set(zip(*near_copies.near_pairs(prints, label, left, right, 2)))
+        for a in {a for a, _ in near}:
+            mine = sorted(d for (x, _), d in near.items() if x == a)[:2]
+            assert sorted(near[p] for p in few if p[0] == a) == mine
+
+
+def test_extra_columns_and_empty(spark, make_docs, prose):
+    docs = make_docs([prose(1, 100), prose(1, 100), None, ""]).selectExpr("*", "1 AS own_node", "2 AS kept_id", "3 AS node", "4 AS KEPT_NODE")
+    kept = near_copies.without_near_copies(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
+    assert near_copies.without_near_copies(docs.limit(0)).count() == 0

@@ -39,10 +39,10 @@ def test_bit_sliced_distances(radius):
     base = r.integers(0, 2**63, 40, dtype=np.uint64)
     flips = np.array([sum(1 << int(b) for b in r.choice(64, int(r.integers(0, 9)), replace=False)) for _ in range(150)], np.uint64)
     values = base[r.integers(0, 40, 150)] ^ flips
-    vertical = simhash.planes(values)
+    vertical = simhash.planes(values[:, None])
     q, b = (x.ravel() for x in np.meshgrid(np.arange(150), np.arange(len(vertical)), indexing="ij"))
     near = set()
-    for i, block, lanes in zip(*simhash.within(values, vertical, q, b, radius, list(range(64)))):
+    for i, block, lanes in zip(*simhash.within(values[:, None], vertical, q, b, radius, list(range(64)))):
         near |= {(int(i), int(block) * 64 + k) for k in range(64) if int(lanes) >> k & 1 and block * 64 + k < 150}
     assert near == {(i, j) for i in range(150) for j in range(150) if int(values[i] ^ values[j]).bit_count() <= radius}
 
@@ -76,6 +76,14 @@ def test_groups_and_dedup(spark, make_docs, prose):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 20, 3, 7, None]
 
 
+def test_one_id_on_unrelated_texts(spark, make_docs, prose):
+    docs = make_docs([(1, prose(1, 100)), (1, prose(2, 100)), (1, prose(1, 100)), (2, prose(2, 100))])
+    docs = docs.selectExpr("*", "1 AS text_hash", "2 AS kept_id", "3 AS kept_hash")
+    kept = simhash.simhash_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, prose(1, 100)), (1, prose(2, 100))])
+
+
 def test_empty_and_extra_columns(spark, make_docs):
     docs = make_docs([]).selectExpr("*", "1 AS fp", "2 AS component_id", "3 AS root")
     assert simhash.simhash_groups(docs).count() == 0
