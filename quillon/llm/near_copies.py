@@ -6,12 +6,12 @@ Operator 7's fingerprints and bit-sliced comparison, at the radius that such a s
    its distinct shingles. At a Jaccard of 0.8 about 15 % of the bits differ, far more than pigeonhole keys can bear, so
    nodes meet by minima of their shingle hashes: ROWS minima are a key and there are BANDS keys. Two texts of Jaccard j
    share a key with a chance of 1 - (1 - j^ROWS)^BANDS: 0.9996 at 0.8.
-2. All nodes of a key are first held against the least of them, one pair a node. That settles most groups of copies.
-3. Keys whose nodes still belong to different components are dealt out as pairs of bounded tiles and compared
-   bit-sliced; pairs within RADIUS bits are candidates (at Jaccard 0.8 four standard deviations are within it).
-4. Candidates are settled by the exact Jaccard of their shingle sets. A node first meets its nearest nodes; in each
-   further round those of other components alone, eight times as many, until no untried candidate joins two
-   components. No candidate is left out.
+2. All nodes of a key are first held against the least of them, one pair a node, by the exact Jaccard of their shingle
+   sets. That settles most groups of copies.
+3. Keys whose nodes still belong to different components are dealt out as pairs of bounded tiles, with the nodes'
+   shingle sets, and compared bit-sliced; pairs of different components within RADIUS bits are candidates (at Jaccard
+   0.8 four standard deviations are within it). They are settled in the tile by the exact Jaccard; a tile emits the
+   links of a spanning forest, never its pairs. No candidate is left out.
 
 Defined results: null texts are empty; texts without words are copies of each other; texts with fewer words than a
 shingle are one shingle; rows with a null id stay; other columns, whatever their names, are kept.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.batches import tasks, unused, values
-from quillon.llm.simhash import _last_run, _runs, lanes_set, majority, planes, within
+from quillon.llm.simhash import _join_labels, _last_run, _runs, lanes_set, majority, planes, within
 from quillon.operators.graph import connected_components
 from quillon.sources.scratch import materialize
 
@@ -38,6 +38,8 @@ WORDS, RADIUS = 2, 40
 SEED, TILE = 42, 4096
 #: (query, block) pairs that are compared at once; bounds a task's memory.
 AT_ONCE = 1 << 14
+#: Pairs that are settled one by one rather than by matrix products, and columns of a product; the results are the same.
+FEW, COLUMNS = 100, 1024
 
 _random = np.random.default_rng(SEED)
 _XOR = _random.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
@@ -99,19 +101,55 @@ def _sketches(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "text").mapInArrow(run, "node long, keys array<long>, f0 long, f1 long")
 
 
-def _nearest(a: np.ndarray, b: np.ndarray, distance: np.ndarray, most: int) -> np.ndarray:
-    """Which pairs are among the `most` nearest of their a."""
-    order = np.lexsort((b, distance, a))
-    a = a[order]
-    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
-    rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.r_[starts, len(a)]))
-    return order[rank < most]
+class Sets:
+    """Shingle sets of the rows of a run, for exact counts of common shingles of many pairs at once."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sets, self.size = sets, np.array([len(x) for x in sets], np.int64)
+        self.columns: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def near(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Whether the sets of the pairs are near copies."""
+        if len(u) <= FEW:
+            return np.array([jaccard(self.sets[x], self.sets[y]) >= AT_LEAST for x, y in zip(u.tolist(), v.tolist())], bool)
+        common = self.common(u, v)
+        union = self.size[u] + self.size[v] - common
+        return common >= AT_LEAST * union  # an empty pair has 0 of 0
+
+    def common(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Common shingles by products of 0/1 matrices, some columns (shingles that several rows have) at a time."""
+        if self.columns is None:
+            _, number, times = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)
+            row = np.repeat(np.arange(len(self.sets)), self.size)
+            shared = (times > 1)[number]
+            number = (np.cumsum(times > 1) - 1)[number][shared]
+            order = np.argsort(number, kind="stable")
+            self.columns = row[shared][order], number[order], np.arange(0, int((times > 1).sum()) + COLUMNS, COLUMNS)
+        row, number, edges = self.columns
+        lines, at_u = np.unique(u, return_inverse=True)
+        lanes, at_v = np.unique(v, return_inverse=True)
+        place_u, place_v = np.full(len(self.sets), -1), np.full(len(self.sets), -1)
+        place_u[lines], place_v[lanes] = np.arange(len(lines)), np.arange(len(lanes))
+        product = np.zeros((len(lines), len(lanes)), np.float32)
+        for low, high in zip(edges, edges[1:]):
+            s, e = np.searchsorted(number, (low, high))
+            product += _zero_one(place_u[row[s:e]], number[s:e] - low, len(lines)) @ _zero_one(place_v[row[s:e]], number[s:e] - low, len(lanes)).T
+        return product[at_u, at_v].astype(np.int64)
+
+
+def _zero_one(rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, COLUMNS), np.float32)
+    out[rows[rows >= 0], columns[rows >= 0]] = 1
+    return out
 
 
-def near_pairs(prints: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows a > b of different labels within RADIUS bits, one of left and one of right; of each a the `most` nearest."""
-    vertical, same = planes(prints[right]), left is right
-    found = [np.empty((3, 0), np.int64)]
+def near_links(prints: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and the smallest row that each is joined with, over near copies of which one is in left and one in right.
+    Pairs with one label are joined already."""
+    everyone = np.arange(len(prints))
+    joined = np.unique(label, return_index=True, return_inverse=True)
+    own = joined[1][joined[2]]  # the first row of each label
+    up, vertical, same = own.copy(), planes(prints[right]), left is right
     per = max(1, AT_ONCE // len(vertical))
     for at in range(0, len(left), per):
         rows = np.arange(at, min(at + per, len(left)))
@@ -120,27 +158,29 @@ def near_pairs(prints: np.ndarray, label: np.ndarray, left: np.ndarray, right: n
         u, v = lanes_set(*within(prints[left], vertical, q, b, RADIUS, _ORDER))
         good = v < len(right)
         u, v = left[u[good]], right[v[good]]
-        good = (label[u] != label[v]) & ((v > u) if same else (v != u))
-        high, low = np.maximum(u, v)[good], np.minimum(u, v)[good]
-        distance = np.bitwise_count(prints[high] ^ prints[low]).sum(1, dtype=np.int64)
-        chosen = _nearest(high, low, distance, most)
-        found.append(np.stack([high[chosen], low[chosen], distance[chosen]]))
-    high, low, distance = np.concatenate(found, axis=1)
-    chosen = _nearest(high, low, distance, most)
-    return high[chosen], low[chosen]
-
-
-def _candidates(labelled: DataFrame, most: int) -> DataFrame:
-    """Pairs a, b of nodes of one key and different labels that may be near copies: to each node the `most` nearest nodes
-    of each tile. labelled: t, key, node, label, f0, f1; every node of keys that have several labels."""
+        good = (up[u] != up[v]) & (v > u if same else True)
+        u, v = u[good], v[good]
+        if len(u):
+            good = sets.near(u, v)
+            _join_labels(up, u[good], v[good])
+    new = everyone[(up != own)]
+    return new, up[new]
+
+
+def _tile_links(keyed: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links a, b that join nodes of one key and different components. keyed: t, key, node, f0, f1; texts: node and text."""
+    n = tasks(keyed.sparkSession)
+    labelled = keyed.join(roots, "node", "left").select("t", "key", "node", F.coalesce("root", "node").alias("label"), "f0", "f1")
     mixed = labelled.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    rows = materialize(labelled.join(mixed.select("t", "key", F.ceil(F.col("n") / TILE).cast("int").alias("g")), ["t", "key"]), "mixed")
+    sets = _sets(texts.join(rows.select("node").distinct(), "node", "left_semi"))
     tiled = (
-        labelled.join(mixed.select("t", "key", F.ceil(F.col("n") / TILE).cast("int").alias("g")), ["t", "key"])
+        rows.join(sets, "node")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
         .withColumn("s", F.explode(F.expr("sequence(0, g - 1)")))
-        .select("t", "key", F.least("own", "s").alias("ta"), F.greatest("own", "s").alias("tb"), "own", "node", "label", "f0", "f1")
+        .select("t", "key", F.least("own", "s").alias("ta"), F.greatest("own", "s").alias("tb"), "own", "node", "label", "f0", "f1", "hashes")
     )
-    dealt = tiled.repartition(tasks(labelled.sparkSession), "t", "key", "ta", "tb").sortWithinPartitions("t", "key", "ta", "tb", "node")
+    dealt = tiled.repartition(n, "t", "key", "ta", "tb").sortWithinPartitions("t", "key", "ta", "tb", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -164,10 +204,22 @@ def _candidates(labelled: DataFrame, most: int) -> DataFrame:
             everyone = np.arange(e - s)
             left, right = (everyone, everyone) if ta[s] == tb[s] else (np.flatnonzero(own[s:e] == x[s]) for x in (ta, tb))
             if len(left) and len(right):
-                a, b = near_pairs(prints[s:e], label[s:e], left, right, most)
-                yield pa.RecordBatch.from_arrays([pa.array(node[s:e][a]), pa.array(node[s:e][b])], ["a", "b"])
+                sets = Sets([np.frombuffer(x, np.uint64) for x in table.column(7 + WORDS).slice(s, e - s).to_pylist()])
+                a, b = near_links(prints[s:e], label[s:e], left, right, sets)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[s:e][a]), pa.array(node[s:e][b])], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """node and hashes (its shingle set) of node and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in values(batch.column(1))], pa.binary())], ["node", "hashes"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return texts.select("node", "text").mapInArrow(run, "node long, hashes binary")
 
 
 def _settled(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -200,18 +252,10 @@ def near_copy_groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keyed = materialize(rows.join(sizes.drop("n"), ["t", "key"]), "near-keys")
     held = materialize(texts.join(keyed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "near-texts")
     pairs = materialize(keyed.where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "near-pairs")
-    tried = linked = None
-    most = 1
-    while True:
-        good = materialize(_settled(pairs, held), "near-links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        linked = good if linked is None else linked.unionByName(good)
-        roots = connected_components(linked).select("node", "root")
-        labelled = keyed.join(roots, "node", "left").select("t", "key", "node", F.coalesce("root", "node").alias("label"), "f0", "f1")
-        pairs = materialize(_candidates(labelled, most).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            return roots
-        most *= 8
+    good = materialize(_settled(pairs, held), "near-links")
+    first = connected_components(good).select("node", "root")
+    more = materialize(_tile_links(keyed, first, held), "near-links")
+    return connected_components(good.unionByName(more)).select("node", "root")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -62,22 +62,26 @@ def test_one_id_on_unrelated_texts(spark, make_docs, prose):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, prose(1, 100)), (1, prose(2, 100)), (None, prose(1, 100))], key=str)
 
 
-def test_nearest_pairs_equal_brute_force():
+def test_tile_links_equal_brute_force(monkeypatch):
+    """Links of a tile pair make the components of all its near copies, by single pairs and by matrix products."""
     import numpy as np
 
     r = np.random.default_rng(5)
-    base = r.integers(0, 2**63, (6, 2), dtype=np.uint64)
-    prints = base[r.integers(0, 6, 150)] ^ (np.uint64(1) << r.integers(0, 64, (150, 2)).astype(np.uint64))
-    label, own = r.integers(0, 9, 150), r.integers(0, 2, 150)
-    everyone = np.arange(150)
-    for left, right in ((everyone, everyone), (np.flatnonzero(own == 0), np.flatnonzero(own == 1))):
-        distance = {(max(u, v), min(u, v)): sum((int(x) ^ int(y)).bit_count() for x, y in zip(prints[u], prints[v])) for u in left for v in right if label[u] != label[v] and u != v}
-        near = {p: d for p, d in distance.items() if d <= near_copies.RADIUS}
-        assert set(zip(*near_copies.near_pairs(prints, label, left, right, 10**6))) == set(near)
-        few = set(zip(*near_copies.near_pairs(prints, label, left, right, 2)))
-        for a in {a for a, _ in near}:
-            mine = sorted(d for (x, _), d in near.items() if x == a)[:2]
-            assert sorted(near[p] for p in few if p[0] == a) == mine
+    base = [r.integers(0, 2**63, 60, dtype=np.uint64) for _ in range(4)]
+    sets = [np.unique(np.r_[base[k][r.random(60) < 0.93], r.integers(0, 2**63, 2, dtype=np.uint64)]) for k in r.integers(0, 4, 150)] + [np.empty(0, np.uint64)] * 2
+    n = len(sets)
+    prints = np.array([near_copies.fingerprint(x) for x in sets], np.uint64)
+    label, own = r.integers(0, 100, n) + 1000, r.integers(0, 2, n)
+    everyone = np.arange(n)
+    for few, columns in ((10**6, 1024), (0, 16)):
+        monkeypatch.setattr(near_copies, "FEW", few)
+        monkeypatch.setattr(near_copies, "COLUMNS", columns)
+        for left, right in ((everyone, everyone), (np.flatnonzero(own == 0), np.flatnonzero(own == 1))):
+            known = [(int(u), int(v)) for u in everyone for v in everyone if label[u] == label[v] and u < v]
+            near = [(int(u), int(v)) for u in left for v in right if u != v and near_copies.jaccard(sets[u], sets[v]) >= 0.8]
+            a, b = near_copies.near_links(prints, label, left, right, near_copies.Sets(sets))
+            got = components(n, known + list(zip(a.tolist(), b.tolist())))
+            assert got == components(n, known + near) and len(a) < n
 
 
 def test_extra_columns_and_empty(spark, make_docs, prose):
