@@ -61,7 +61,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.repeats(_table(spark, sf_dir, "documents"))
-    return found.select(F.nullif("id", F.lit(substrings.NULL_ID)).alias("doc_id"), "start_byte", "end_byte", "n_words", "first_ids")
+    return found.select(F.col("id").alias("doc_id"), "start_byte", "end_byte", "n_words", "first_ids")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,29 +3,30 @@
 1. A gear rolling hash over the last 16 bytes marks places to cut, at the ends of words (characters of scripts without
    spaces count as words), and at the end of any character once UNSPACED bytes have no white space. A cut depends on
    the bytes around it alone, so a passage is cut alike wherever it stands and insertions before it shift nothing.
-2. Chunks are counted by digest, pre-aggregated before the shuffle; only digests seen more than once go on, and only
-   the places of such chunks are joined back. A common chunk's places are never gathered: each is compared with the
-   smallest place of its digest.
+   Texts are chunked once, into a written table.
+2. Chunks are counted by half of their 128-bit digest, pre-aggregated before the shuffle; only chunks seen more than
+   once go on. Digests with more than 1 / COMMON of all chunks, COMMON at most, are broadcast, so their places are
+   found without a shuffle and meet in no task; places of other digests are joined back by digest. Each place is
+   compared with the smallest place of its whole digest.
 3. Per document, stretches of neighbouring chunks that all stand at an earlier place too are repeats if they have at
-   least MIN_WORDS words. The earliest copy of every chunk stays. Lone repeated chunks (short stock phrases, or two
-   texts with one digest) are left alone.
+   least MIN_WORDS words, be it one chunk or many. The earliest copy of every chunk stays, as do shorter stretches.
 
-Places are ordered by (document id, chunk). Defined results: null and empty texts have no chunks and stay; rows with a
-null id come before all others; rows repeated with equal id and text are one document and fare alike; texts of any
-length are chunked whole, block by block.
+A document is an id and the 128-bit MD5 of its text; places are ordered by (id, MD5, first byte). Defined results: null
+and empty texts have no chunks and stay; rows with a null id come before all others, and each text among them is a
+document of its own; rows repeated with equal id and text are one document and fare alike; texts of any length are
+chunked whole, block by block; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.batches import values
@@ -36,7 +37,9 @@ SHORTEST, LONGEST = 12, 160
 UNSPACED = 48
 MIN_WORDS = 20
 BLOCK = 4 << 20
-NULL_ID = -(1 << 63)
+#: Common digests are those with more than 1 / COMMON of all chunks, so there are COMMON at most.
+COMMON, COMMON_AT_LEAST = 10_000, 500
+_DOCUMENT = ["id", "k1", "k2"]
 
 
 def _gear(seed: int = 42) -> np.ndarray:
@@ -128,38 +131,46 @@ def _forced_end(raw: np.ndarray, start: int) -> int:
     return end
 
 
+def _half(text_col: str, at: int) -> Column:
+    """Sixteen hexadecimal digits of the MD5 of a text's bytes, as a long."""
+    return F.conv(F.substring(F.md5(F.col(text_col).cast("binary")), at, 16), 16, -10).cast("long")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, k1 and k2 (the MD5 of the text's bytes) and text."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), _half(text_col, 1).alias("k1"), _half(text_col, 17).alias("k2"), F.col(text_col).alias("text"))
+
+
 def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """digest, id, text_hash, place (chunk number << 40 | first byte), extent (bytes << 12 | words): a row per chunk."""
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    names = ["digest", "id", "text_hash", "place", "extent"]
+    """d1, d2 (digest), id, k1, k2 (document), start (first byte), extent (bytes << 12 | words): a row per chunk."""
+    names = ["d1", "d2", *_DOCUMENT, "start", "extent"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest_of = xxhash.xxh3_64_intdigest
+        digest_of = xxhash.xxh3_128_digest
         for batch in batches:
             for part in _parts(batch):
-                digests, ids, hashes, places, extents = [], [], [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if not text:
-                        continue
-                    data = text.encode("utf-8", "replace")
-                    key, start = zlib.crc32(data), 0
-                    ends = chunk_ends(data)
-                    for n, end in enumerate(ends):
+                digests, sizes, starts, extents = [], [], [], []
+                for text in part.column(3).to_pylist():
+                    data, start = (text or "").encode("utf-8", "replace"), 0
+                    ends = chunk_ends(data) if data else []
+                    for end in ends:
                         chunk = data[start:end]
                         digests.append(digest_of(chunk))
-                        places.append(n << 40 | start)
+                        starts.append(start)
                         extents.append(len(chunk) << 12 | min(4095, n_words(chunk)))
                         start = end
-                    ids += [doc] * len(ends)
-                    hashes += [key] * len(ends)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(digests, np.uint64).view(np.int64)), *(pa.array(x, pa.int64()) for x in (ids, hashes, places, extents))], names)
+                    sizes.append(len(ends))
+                both = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+                owner = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+                document = [part.column(i).take(owner) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), *document, pa.array(starts, pa.int64()), pa.array(extents, pa.int32())], names)
 
-    return source.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "d1 long, d2 long, id long, k1 long, k2 long, start long, extent int")
 
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of about BLOCK bytes of text, a row at least."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(3)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK)))
@@ -168,52 +179,66 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Repeated stretches: id, text_hash, start_byte, end_byte, n_words, first_ids (documents with the earliest copies)."""
-    chunks = chunk_rows(docs, id_col, text_col)
-    again = chunks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    shared = materialize(chunks.join(again, "digest"), "shared-chunks")
-    place = F.struct("id", "text_hash", "place")
-    first = shared.groupBy("digest").agg(F.min(place).alias("first"))
-    later = shared.join(first, "digest").where(place != F.col("first")).select("id", "text_hash", "place", "extent", F.col("first.id").alias("first_id"))
-    dealt = later.repartition("id", "text_hash").sortWithinPartitions("id", "text_hash", "place")
+    """Repeated stretches: id, k1, k2, start_byte, end_byte, n_words, first_ids (documents with the earliest copies)."""
+    chunks = materialize(chunk_rows(docs, id_col, text_col), "chunks")
+    again = materialize(chunks.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1"), "repeated-digests")
+    bound = max(COMMON_AT_LEAST, chunks.count() // COMMON)
+    common = F.broadcast(again.where(F.col("n") > bound).select("d1"))
+    rest = again.where(F.col("n") <= bound).select("d1")
+    place = F.struct(*_DOCUMENT, "start")
+
+    def later(shared: DataFrame, small: bool) -> DataFrame:
+        first = shared.groupBy("d1", "d2").agg(F.min(place).alias("first"))
+        first = F.broadcast(first) if small else first  # a row for each common digest
+        return shared.join(first, ["d1", "d2"]).where(place != F.col("first")).select(*_DOCUMENT, "start", "extent", F.col("first.id").alias("first_id"))
+
+    shared = materialize(chunks.join(common, "d1", "left_anti").join(rest, "d1"), "shared-chunks")
+    found = later(shared, False).unionByName(later(chunks.join(common, "d1", "left_semi"), True))
+    # Rows repeated whole have the same places: once is enough.
+    once = found.groupBy(*_DOCUMENT, "start").agg(F.min("extent").alias("extent"), F.min("first_id").alias("first_id"))
+    dealt = once.repartition(*_DOCUMENT).sortWithinPartitions(*_DOCUMENT, "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 5
+        held: pa.Table | None = None
         for batch in batches:
-            held, starts = _runs([np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)])
-            yield _stretches(held, starts, min_words)
-            held = [h[starts[-1] :] for h in held] if len(starts) else held  # the last run may go on
-        yield _stretches(held, np.array([0, len(held[0])]), min_words)
+            table = pa.Table.from_batches([batch])
+            table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+            starts = _runs(table)
+            yield _stretches(table, starts, min_words)
+            held = table.slice(starts[-1]) if len(starts) else None  # the last run may go on
+        if held is not None:
+            yield _stretches(held, np.array([0, held.num_rows]), min_words)
+
+    return dealt.mapInArrow(run, "id long, k1 long, k2 long, start_byte long, end_byte long, n_words long, first_ids array<long>")
+
 
-    return dealt.mapInArrow(run, "id long, text_hash long, start_byte long, end_byte long, n_words long, first_ids array<long>")
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
 
 
-def _runs(rows: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sorted rows (id, text_hash, place, extent, first_id) without repeated ones, and where runs of neighbouring chunks of
-    one document begin."""
-    doc, key, place = rows[:3]
-    same = (doc[1:] == doc[:-1]) & (key[1:] == key[:-1])
-    once = np.ones(len(doc), bool)
-    once[1:] = ~(same & (place[1:] == place[:-1]))
-    rows = [r[once] for r in rows]
-    doc, key, place = rows[:3]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | ((place[1:] >> 40) != (place[:-1] >> 40) + 1)
-    return rows, np.flatnonzero(new)
+def _runs(table: pa.Table) -> np.ndarray:
+    """Where runs of neighbouring chunks of one document begin, in sorted rows id, k1, k2, start, extent, first_id."""
+    new = np.ones(table.num_rows, bool)
+    start = _column(table, "start")
+    new[1:] = start[1:] != start[:-1] + (_column(table, "extent")[:-1] >> 12)
+    unnamed, named = table.column("id").is_null().to_numpy(), table.column("id").fill_null(0).to_numpy()
+    for x in (unnamed, named, _column(table, "k1"), _column(table, "k2")):
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
 
-def _stretches(rows: list[np.ndarray], starts: np.ndarray, min_words: int) -> pa.RecordBatch:
+def _stretches(table: pa.Table, starts: np.ndarray, min_words: int) -> pa.RecordBatch:
     """The runs between starts that have enough words; what follows the last start is left out."""
-    doc, key, place, extent, first = (r[: starts[-1] if len(starts) else 0] for r in rows)
-    begin, end = (starts[:-1], starts[1:]) if len(doc) else (np.empty(0, np.int64),) * 2
-    words = np.add.reduceat(extent & 4095, begin) if len(begin) else np.empty(0, np.int64)
+    extent, at = _column(table, "extent").astype(np.int64), _column(table, "start")
+    begin, end = starts[:-1], starts[1:]
+    words = np.add.reduceat(extent[: starts[-1]] & 4095, begin) if len(begin) else np.empty(0, np.int64)
     enough = words >= min_words
     begin, end, words = begin[enough], end[enough], words[enough]
-    low = (1 << 40) - 1
-    last = end - 1
-    firsts = [np.unique(first[a:b]).tolist() for a, b in zip(begin.tolist(), end.tolist())]
-    columns = [doc[begin], key[begin], place[begin] & low, (place[last] & low) + (extent[last] >> 12), words]
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(firsts, pa.list_(pa.int64()))], ["id", "text_hash", "start_byte", "end_byte", "n_words", "first_ids"])
+    first = table.column("first_id")
+    firsts = [sorted(set(first.slice(a, b - a).to_pylist()), key=lambda x: (x is not None, x)) for a, b in zip(begin.tolist(), end.tolist())]
+    document = [table.column(c).combine_chunks().take(pa.array(begin)) for c in _DOCUMENT]
+    columns = [pa.array(c, pa.int64()) for c in (at[begin], at[end - 1] + (extent[end - 1] >> 12), words)]
+    return pa.RecordBatch.from_arrays([*document, *columns, pa.array(firsts, pa.list_(pa.int64()))], [*_DOCUMENT, "start_byte", "end_byte", "n_words", "first_ids"])
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", min_words: int = MIN_WORDS) -> DataFrame:
@@ -221,11 +246,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     All rows and columns stay; a text that was repeated whole becomes empty.
     """
-    found = repeats(docs, id_col, text_col, min_words).groupBy("id", "text_hash").agg(F.collect_list(F.struct("start_byte", "end_byte")).alias("cuts"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("_hash", F.crc32(F.encode(text_col, "UTF-8")))
-    joined = keyed.join(found, (keyed["_id"] == found["id"]) & (keyed["_hash"] == found["text_hash"]), "left").select(*[keyed[c] for c in docs.columns], "cuts")
-    at = docs.columns.index(text_col)
+    found = repeats(docs, id_col, text_col, min_words).groupBy(*_DOCUMENT).agg(F.collect_list(F.struct("start_byte", "end_byte")).alias("cuts"))
+    # Own names for the caller's columns, whatever they are called.
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    at, id_at = docs.columns.index(text_col), docs.columns.index(id_col)
     size_at = docs.columns.index(length_col) if length_col in docs.columns else -1
+    plain = docs.toDF(*own)
+    keyed = plain.withColumns({"id": F.col(own[id_at]).cast("long"), "k1": _half(own[at], 1), "k2": _half(own[at], 17)})
+    joined = keyed.join(found.withColumnsRenamed({c: f"f_{c}" for c in _DOCUMENT}), F.col("id").eqNullSafe(F.col("f_id")) & (F.col("k1") == F.col("f_k1")) & (F.col("k2") == F.col("f_k2")), "left").select(*own, "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,9 +264,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     sizes = [len(t or "") if c else n for t, c, n in zip(texts, values(cuts), values(columns[size_at]))]
                     columns[size_at] = pa.array(sizes, columns[size_at].type)
                 columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, own)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def cut(text: str | None, cuts: list[dict[str, int]]) -> str:

@@ -42,7 +42,7 @@ def test_recall_of_edited_copies(prose, rate, least):
     texts = []
     for item, window in items:
         copy = list(window)
-        for _ in range(int(rate * min(len(window), b.ITEM_WINDOW))):
+        for _ in range(int(rate * len(window))):
             p, kind = r.randrange(len(copy)), r.randrange(3)
             copy[p : p + (kind != 2)] = [] if kind == 0 else [r.choice(words)]
         texts.append(words[: r.randrange(300)] + copy + words[300:350])
@@ -70,29 +70,60 @@ def test_long_items_edited_by_their_full_length(prose, length):
 
 
 def test_index_of_many_words(spark, make_docs, prose, monkeypatch):
-    monkeypatch.setattr(b, "ITEM_WORDS_AT_ONCE", 100)
+    monkeypatch.setattr(b, "INDEX_BYTES", 10_000)
     items = spark.createDataFrame([(i, prose(i, 40 + 30 * i)) for i in range(6)], "item_id long, text string")
     docs = make_docs([prose(50, 20) + " " + prose(i, 40 + 30 * i) for i in range(6)])
-    assert len(b._indexes(items, "item_id", "text", b.EDITS)) == 6
+    assert len(list(b._indexes(items, "item_id", "text", b.EDITS))) == 6
     assert {(r.doc_id, r.item_id) for r in b.leaks(docs, items).collect()} == {(i, i) for i in range(6)}
 
 
 def test_equals_brute_force_on_exact_copies(spark, make_docs, prose):
-    items = [(i, prose(i, 12 + 5 * i)) for i in range(8)] + [(50, "too short here"), (51, None), (52, ""), (53, prose(2, 22))]
+    items = [(i, prose(i, 12 + 5 * i)) for i in range(8)] + [(50, "too short here"), (54, " ".join(prose(100, 150).split()[20:24])), (55, prose(101, 150).split()[7] + "x"), (56, prose(103, 150).split()[149]), (51, None), (52, ""), (53, prose(2, 22))]
     texts = [prose(100 + k, 150) for k in range(20)]
     for k in range(0, 20, 2):
         texts[k] += "\n" + items[k % 8][1].upper().replace(" ", ", ") + " " + prose(300 + k, 40)
     docs = make_docs([*enumerate(texts), (70, None), (71, ""), (0, texts[0]), (72, prose(5, 30_000) + " " + items[3][1])]).selectExpr("*", "1 AS item_id", "2 AS n_edits")
     got = {(r.doc_id, r.item_id) for r in b.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    plain = {(d, i) for d, t in [*enumerate(texts), (72, docs.where("doc_id = 72").first().text)] for i, it in items if it and len(it.split()) >= b.LEAST_WORDS and " ".join(it.split()) in " ".join(b.words_of(t))}
+    plain = {(d, i) for d, t in [*enumerate(texts), (72, docs.where("doc_id = 72").first().text)] for i, it in items if it and " ".join(it.split()) in " ".join(b.words_of(t)) and f" {' '.join(it.split())} " in f" {' '.join(b.words_of(t))} "}
     assert got == plain and plain
     kept = b.without_leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect() if r.doc_id not in {d for d, _ in plain})
 
 
+def test_walks_reach_the_recall(monkeypatch):
+    """More walks for a higher target; each length is measured on its own."""
+    monkeypatch.setattr(b, "_WALKS", {})
+    usual = b.walks_for(b.EDITS)
+    monkeypatch.setattr(b, "RECALL", 0.998)
+    monkeypatch.setattr(b, "_WALKS", {})
+    more = b.walks_for(b.EDITS)
+    assert 1 <= usual < more <= b.WALKS
+
+
+@pytest.mark.parametrize("length", [5, 7, 10, 15, 20, 30, 50, 100])
+def test_recall_at_the_full_edit_budget(prose, length):
+    r, items = random.Random(length), [(i, prose(1000 + i, length, 3000).split()) for i in range(150)]
+    index, words, texts = b.Index(items), prose(999, 4000).split(), []
+    for _, item in items:
+        copy = list(item)
+        for _ in range(int(b.EDITS * length)):
+            p, kind = r.randrange(len(copy)), r.randrange(3)
+            copy[p : p + (kind != 2)] = [] if kind == 0 else [f"new{r.randrange(10**6)}"]
+        texts.append(words[:100] + copy + words[300:350])
+    found = {(t, i) for t, i, *_ in index.search(texts, b._Hasher())}
+    assert sum((k, i) in found for k, (i, _) in enumerate(items)) >= (b.RECALL - 0.03) * len(items)
+
+
+def test_an_index_is_as_large_as_it_says(prose):
+    import pickle
+
+    index = b.Index([(i, prose(i, 60, 3000).split()) for i in range(400)])
+    assert len(pickle.dumps(index)) <= 1.2 * index.nbytes()
+
+
 def test_many_indexes(spark, make_docs, prose, monkeypatch):
-    monkeypatch.setattr(b, "ITEMS_AT_ONCE", 3)
+    monkeypatch.setattr(b, "INDEX_BYTES", 40_000)
     items = spark.createDataFrame([(i, prose(i, 30)) for i in range(8)], "item_id long, text string")
     docs = make_docs([prose(50, 20) + " " + prose(i, 30) for i in range(8)])
     assert {(r.doc_id, r.item_id) for r in b.leaks(docs, items).collect()} == {(i, i) for i in range(8)}

@@ -1,3 +1,5 @@
+import struct
+
 import numpy as np
 import pytest
 from llm_helpers import stretches
@@ -39,10 +41,15 @@ def test_blocks_do_not_change_cuts(prose, monkeypatch):
 
 def plain(rows):
     """Repeats by one pass over the documents in order."""
+    import hashlib
+
     import xxhash
 
+    def signed_halves(text):
+        return struct.unpack(">qq", hashlib.md5((text or "").encode()).digest())
+
     seen, out = {}, {}
-    for doc, text in sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], __import__("zlib").crc32((r[1] or "").encode()))):
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed_halves(r[1]))):
         data, start, chunks = (text or "").encode(), 0, []
         for n, end in enumerate(s.chunk_ends(data)):
             chunk = data[start:end]
@@ -61,8 +68,7 @@ def test_repeats_equal_a_plain_pass(spark, make_docs, prose):
     rows += [(50, rows[0][1]), (51, passage[0]), (52, ""), (53, None), (None, passage[1]), (3, rows[3][1]), (60, "word " * 4000)]
     got = {}
     for r in s.repeats(make_docs(rows)).collect():
-        doc = None if r.id == s.NULL_ID else r.id
-        got.setdefault(doc, set()).add((r.start_byte, r.end_byte, r.n_words))
+        got.setdefault(r.id, set()).add((r.start_byte, r.end_byte, r.n_words))
     expected = {}
     for (doc, _), found in plain(set(rows)).items():
         if found:
@@ -71,6 +77,54 @@ def test_repeats_equal_a_plain_pass(spark, make_docs, prose):
     assert all(i in got for i in range(3, 12)) and 0 not in {k for k in got if k == 0} - {0}
 
 
+def test_common_digests_are_found_alike(spark, make_docs, prose, monkeypatch):
+    monkeypatch.setattr(s, "COMMON_AT_LEAST", 2)
+    monkeypatch.setattr(s, "COMMON", 10**9)
+    test_repeats_equal_a_plain_pass(spark, make_docs, prose)
+
+
+def test_null_ids_of_equal_crc32_keep_their_texts(spark, make_docs, prose):
+    """Texts among null ids are told apart by more than 32 bits."""
+    import zlib
+
+    passage = prose(7, 70, 4000)
+    first = passage + " " + prose(8, 30, 4000)
+    seen, i = {}, 0
+    while True:  # two texts with one crc32
+        key = zlib.crc32(str(i).encode())
+        if key in seen:
+            break
+        seen[key], i = str(i), i + 1
+    texts = [first, passage, *(x + prose(9 + k, 40, 4000) for k, x in enumerate((seen[key], str(i)))), seen[key], str(i)]
+    out = s.without_repeats(make_docs([(None, t) for t in texts])).collect()
+    assert {r.doc_id for r in out} == {None} and len(out) == len(texts)
+    assert set(texts[2:]) <= {r.text for r in out}
+
+
+def test_least_long_as_an_id(spark, make_docs, prose):
+    passage = prose(7, 70, 4000)
+    docs = make_docs([(-(2**63), passage), (None, passage), (-(2**63), prose(1, 60, 4000))])
+    out = s.without_repeats(docs).collect()
+    assert sorted(((r.doc_id, len(r.text) > 100) for r in out), key=str) == sorted([(None, True), (-(2**63), False), (-(2**63), True)], key=str)
+
+
+def test_clashing_columns(spark, make_docs, prose):
+    docs = make_docs([(1, prose(7, 70, 4000)), (2, prose(7, 70, 4000))]).selectExpr("*", "1 AS _id", "2 AS _hash", "3 AS cuts", "4 AS id", "5 AS k1", "6 AS f_id", "7 AS c0")
+    out = s.without_repeats(docs)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    assert [(r.doc_id, r.text == "", r._id, r._hash, r.cuts, r.id, r.k1, r.f_id, r.c0) for r in out.orderBy("doc_id").collect()] == [(1, False, 1, 2, 3, 4, 5, 6, 7), (2, True, 1, 2, 3, 4, 5, 6, 7)]
+
+
+def test_starts_beyond_two_to_the_forty():
+    import pyarrow as pa
+
+    far = 1 << 50
+    table = pa.table({"id": [None, None, 5], "k1": [1, 1, 1], "k2": [2, 2, 2], "start": [far, far + 100, far + 200], "extent": pa.array([100 << 12 | 15] * 3, pa.int32()), "first_id": pa.array([None, 3, 3], pa.int64())})
+    table = table.set_column(0, "id", pa.array([None, None, 5], pa.int64()))
+    assert s._runs(table).tolist() == [0, 2]
+    assert s._stretches(table, np.array([0, 2, 3]), 20).to_pylist() == [{"id": None, "k1": 1, "k2": 2, "start_byte": far, "end_byte": far + 200, "n_words": 30, "first_ids": [None, 3]}]
+
+
 def test_runs_over_many_batches(spark, make_docs, prose):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
     try:
