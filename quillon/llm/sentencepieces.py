@@ -6,11 +6,16 @@ neighbouring pieces are all stable, meaning that the merge rule keeps each pair
 one, so the lattice finds the very ids that merging would. Only a window of the longest piece is kept alive:
 as soon as the backpointer paths of all states that a later piece could still start from meet in one boundary,
 the ids up to it are committed and the lattice before it is dropped. Memory is therefore bounded however long a
-text is. A piece never holds an inner word mark, so paths always meet where a word begins; ids of short words
-are remembered from boundary to boundary.
+text is. All ids come from this lattice: where a piece never holds an inner word mark, paths always meet where a word
+begins, and the ids that the lattice gave between two such boundaries are remembered for the next time they occur.
 
 Decoding joins pieces, turns word marks into spaces, decodes byte pieces as UTF-8 and takes off the dummy prefix.
 
+The model's normalizer is read: the dummy prefix and the removal of extra white space are done; a model that maps
+characters, doesn't escape white space or marks it behind words is refused with a ValueError rather than encoded wrongly.
+User-defined pieces of a BPE model are found first, the longest at each place, and paths meet at both of their ends; a
+unigram model with such pieces is refused too.
+
 Defined results: a null or empty text has no ids; characters outside the vocabulary become byte pieces; a literal
 U+2581 is encoded as a space, as the public library does, and so is the one character that doesn't round-trip.
 """
@@ -33,11 +38,13 @@ from quillon.llm.batches import values
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
+_SPACES = re.compile(" {2,}")
 _RUNS = re.compile(rf"{MARK}+[^{MARK}]*").findall
 #: An unknown character of a unigram model scores this much below the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Bounds of what a process remembers: ids of recent units, and pairs of pieces known to be stable or not.
-REMEMBERED, PAIRS, SHORT = 240_000, 400_000, 48
+#: Bounds of what a process remembers: ids between boundaries for recent texts of so many characters at most, and pairs
+#: of pieces known to be stable or not.
+REMEMBERED, REMEMBERED_LENGTH, PAIRS = 240_000, 48, 400_000
 
 
 class _Memory(dict):
@@ -50,7 +57,7 @@ class _Memory(dict):
         got = self.older.get(key)
         if got is None:
             got = self.make(key)
-        if len(key) <= SHORT:
+        if len(key) <= REMEMBERED_LENGTH:
             if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
@@ -89,11 +96,13 @@ class Model:
     """A SentencePiece model's vocabulary and the encoder over it."""
 
     # Fixed values of the model format: field numbers and piece types.
-    PIECES, TRAINER, MODEL_TYPE, PIECE, SCORE, TYPE = 1, 2, 3, 1, 2, 3
+    PIECES, TRAINER, NORMALIZER, MODEL_TYPE, PIECE, SCORE, TYPE, MARK_BEHIND = 1, 2, 3, 3, 1, 2, 3, 24
+    CHARACTER_MAP, DUMMY_PREFIX, REMOVE_SPACES, ESCAPE_SPACES = 2, 3, 4, 5
     NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
     def __init__(self, raw: bytes) -> None:
         self.kind, self.pieces, self.scores, kinds = UNIGRAM, [], [], []
+        trainer, normalizer = {}, {}
         for number, value in _fields(raw):
             if number == self.PIECES:
                 part = dict(_fields(value))
@@ -101,37 +110,43 @@ class Model:
                 self.scores.append(float(np.frombuffer(part.get(self.SCORE, b"\0\0\0\0"), "<f4")[0]))
                 kinds.append(part.get(self.TYPE, self.NORMAL))
             elif number == self.TRAINER:
-                self.kind = dict(_fields(value)).get(self.MODEL_TYPE, UNIGRAM)
+                trainer = dict(_fields(value))
+            elif number == self.NORMALIZER:
+                normalizer = dict(_fields(value))
+        self.kind = trainer.get(self.MODEL_TYPE, UNIGRAM)
+        if self.kind not in (UNIGRAM, BPE) or normalizer.get(self.CHARACTER_MAP) or not normalizer.get(self.ESCAPE_SPACES, 1) or trainer.get(self.MARK_BEHIND, 0):
+            raise ValueError("a model of another kind, that maps characters, leaves spaces as they are or marks them behind words")
+        self.dummy, self.trims = bool(normalizer.get(self.DUMMY_PREFIX, 1)), bool(normalizer.get(self.REMOVE_SPACES, 1))
         self._prepare(kinds)
 
     def _prepare(self, kinds: list[int]) -> None:
-        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds)) if k in (self.NORMAL, self.USER)}
+        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds)) if k == self.NORMAL}
+        self.users = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds)) if k == self.USER}
+        if self.users and self.kind == UNIGRAM:
+            raise ValueError("a unigram model with user-defined pieces")
+        self.user_parts = re.compile("(" + "|".join(map(re.escape, sorted(self.users, key=len, reverse=True))) + ")") if self.users else None
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, kinds)) if k == self.BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = next((i for i, k in enumerate(kinds) if k == self.UNKNOWN), 0)
         self.silent = {i for i, k in enumerate(kinds) if k == self.CONTROL}
         self.longest = max(map(len, self.ids), default=1)
-        #: Every prefix of a piece: its id, or -1 where it is only a prefix.
-        self.trie: dict[str, int] = {}
-        for p, i in self.ids.items():
-            for n in range(1, len(p)):
-                self.trie.setdefault(p[:n], -1)
-            self.trie[p] = i
-        #: The same as nested [id or -1, {character: node}].
-        self.root: list = [-1, {}]
+        #: The trie of pieces: character -> [id or -1 where it is only a prefix, the node's own characters].
+        self.root: dict[str, list] = {}
         for p, i in self.ids.items():
-            node = self.root
+            node = [-1, self.root]
             for c in p:
                 node = node[1].setdefault(c, [-1, {}])
             node[0] = i
-        worst = min((self.scores[i] for i in self.ids.values()), default=0.0)
+        self.alone = {p for p in self.ids if len(p) == 1}
+        worst = min((self.scores[i] for i, k in enumerate(kinds) if k == self.NORMAL), default=0.0)
         self.unknown_score = worst - UNKNOWN_PENALTY
         #: Neighbouring characters within any piece: where two others meet, all paths meet.
         self.inside = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
         self.lines_apart = not any("\n" in p for p in self.ids)
         self.words_apart = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.stable: dict[int, dict[int, bool]] = {i: {} for i in self.ids.values()}
-        self.stable[-1] = self.stable[-3] = None
+        #: By the piece before (-1: a boundary), whether merging leaves a piece as it is there.
+        self.stable: dict[int, dict[int, bool]] = {-1: {}} | {i: {} for i in self.ids.values()}
+        self.stable[-3] = self.stable[-1]
         self.pairs = 0
         self.bare, self.marked = _Memory(self._unit, REMEMBERED // 3), _Memory(lambda word: self._unit(MARK + word))
         self.high = {i for b, i in self.bytes.items() if b >= 128}
@@ -155,84 +170,90 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _is_stable(self, left: str, right: str) -> bool:
+    def _is_stable(self, before: int, token: int) -> bool:
         self.pairs += 1
         if self.pairs > PAIRS:
             self.pairs = 0
             for held in self.stable.values():
-                if held:
-                    held.clear()
-        return self._merged(left + right) == [left, right]
+                held.clear()
+        parts = [self.pieces[k] for k in (before, token) if k >= 0]
+        ok = self.stable[before][token] = self._merged("".join(parts)) == parts
+        return ok
 
     def stream(self, chars: Iterable[str]) -> Iterator[list[int]]:
         """Lists of committed ids; chars: strings that make up the (marked) text."""
-        text, base = "", 0  # the window of the text, and up to where its states are known
-        back: list[tuple[int, int]] = [(0, -1)]  # per position of the window: length and id of the piece that ends there
-        score = [0.0]
-        prior = -1  # the id before the window
-        trie, stable, pieces, unigram = self.trie, self.stable, self.pieces, self.kind == UNIGRAM
+        root, stable, scores, unigram = self.root, self.stable, self.scores, self.kind == UNIGRAM
+        # The window: its text; of each of its positions the piece that ends there, where that begins, and the score.
+        text, token, begin, score, here, low, alone = "", [-1], [0], [0.0], -1, float("-inf"), self.alone
+        open_pieces: list[tuple[int, dict]] = []  # beginnings of pieces that may go on, the earliest first
         for chunk in chars:
             text += chunk
-            size = len(text)
-            back += [(0, -2)] * (size - len(back) + 1)
-            score += [float("-inf")] * (size - len(score) + 1)
-            for end in range(base + 1, size + 1):
-                for start in range(max(0, end - self.longest), end):
-                    sub = text[start:end]
-                    token = trie.get(sub, -1)
-                    if token < 0:
-                        if start < end - 1:
-                            continue
-                        token = -3  # an unknown character
-                    before = back[start][1] if start else prior
+            for c in chunk:
+                here += 1
+                best, since, top, still = -2, here, low, []
+                open_pieces.append((here, root))
+                for start, kids in open_pieces:
+                    node = kids.get(c)
+                    if node is None:
+                        continue
+                    t, kids = node
+                    if kids:
+                        still.append((start, kids))
+                    if t < 0:
+                        continue
+                    if unigram:
+                        if score[start] + scores[t] > top:
+                            best, since, top = t, start, score[start] + scores[t]
+                    elif best == -2:
+                        before = token[start]
+                        ok = stable[before].get(t)
+                        if ok or (ok is None and self._is_stable(before, t)):
+                            best, since = t, start
+                open_pieces = still
+                if best == -2 or unigram:
+                    if c in alone:
+                        if best == -2:
+                            raise ValueError(f"no stable path to {text[: here + 1][-40:]!r}")
+                    elif best == -2 or score[here] + self.unknown_score > top:  # a character without a piece is one
+                        best, since, top = -3, here, score[here if unigram else 0] + self.unknown_score
                     if unigram:
-                        s = score[start] + (self.unknown_score if token == -3 else self.scores[token])
-                        if s > score[end]:
-                            score[end], back[end] = s, (end - start, token)
-                    else:
-                        if before >= 0 and token >= 0:
-                            ok = stable[before].get(token)
-                            if ok is None:
-                                ok = stable[before][token] = self._is_stable(pieces[before], sub)
-                            if not ok:
-                                continue
-                        back[end] = end - start, token
-                        break
-            meet = self._meeting(text, back)
+                        score.append(top)
+                token.append(best)
+                begin.append(since)
+            meet = self._meeting(len(text), open_pieces, begin)
             if meet:
-                out, prior = self._walk(text, back, meet)
-                yield out
-                text, score = text[meet:], [x - score[meet] for x in score[meet:]]
-                back = [(0, -1), *back[meet + 1 :]]
-            base = len(text)
+                yield self._walk(text, token, begin, meet)
+                text, token, begin = text[meet:], token[meet:], [max(0, x - meet) for x in begin[meet:]]
+                score = [x - score[meet] for x in score[meet:]] if unigram else score
+                open_pieces = [(start - meet, kids) for start, kids in open_pieces]
+                here -= meet
         if text:
-            yield self._walk(text, back, len(text))[0]
-
-    def _meeting(self, text: str, back: list[tuple[int, int]]) -> int:
-        """The last boundary that the paths of all states run through from which a piece could still begin."""
-        size = len(text)
-        alive = {size, *(i for i in range(max(0, size - self.longest + 1), size) if text[i:] in self.trie)}
+            yield self._walk(text, token, begin, len(text))
+
+    @staticmethod
+    def _meeting(size: int, open_pieces: list[tuple[int, dict]], begin: list[int]) -> int:
+        """The last boundary that the paths of all states run through from which a piece could still go on."""
+        if not open_pieces:
+            return size
+        alive = {size, *(start for start, _ in open_pieces)}
         while len(alive) > 1:
             alive.remove(last := max(alive))
-            alive.add(last - back[last][0])
+            alive.add(begin[last])
         return alive.pop()
 
-    def _walk(self, text: str, back: list[tuple[int, int]], end: int) -> tuple[list[int], int]:
-        path = []
-        at = end
-        while at:
-            n, token = back[at]
-            path.append((text[at - n : at], token))
-            at -= n
+    def _walk(self, text: str, token: list[int], begin: list[int], end: int) -> list[int]:
+        """The ids of the path to a position."""
         out: list[int] = []
-        for sub, token in reversed(path):
-            if token >= 0:
-                out.append(token)
+        while end:
+            if token[end] >= 0:
+                out.append(token[end])
             elif self.bytes:
-                out += [self.bytes[b] for b in sub.encode("utf-8", "replace")]
+                out += [self.bytes[b] for b in reversed(text[begin[end] : end].encode("utf-8", "replace"))]
             else:
                 out.append(self.unknown)
-        return out, path[0][1] if path else -1
+            end = begin[end]
+        out.reverse()
+        return out
 
     def _unit(self, unit: str) -> bytes:
         """Packed ids of the text between two boundaries where all paths meet."""
@@ -241,59 +262,25 @@ class Model:
             cut -= 1
         if cut < len(unit):
             return b"".join([self.bare[unit[:cut]], *map(self.bare.__getitem__, unit[cut:])])
-        if len(unit) <= SHORT and self.kind != UNIGRAM:
-            return array("I", self._short(unit)).tobytes()
         step = 4 * self.longest
         return array("I", chain.from_iterable(self.stream(unit[at : at + step] for at in range(0, len(unit), step)))).tobytes()
 
-    def _short(self, unit: str) -> list[int]:
-        """stream() for a unit that fits a window whole, run forwards from each state."""
-        n, root, stable, pieces = len(unit), self.root[1], self.stable, self.pieces
-        token, start = [-2] * (n + 1), [0] * (n + 1)
-        token[0] = -1
-        for i in range(n):
-            before, kids, j = token[i], root, i
-            apart = stable[before]
-            for c in unit[i:]:
-                node = kids.get(c)
-                if node is None:
-                    break
-                j += 1
-                t, kids = node
-                if t >= 0 and token[j] == -2:
-                    if apart is not None:
-                        ok = apart.get(t)
-                        if ok is None:
-                            ok = apart[t] = self._is_stable(pieces[before], pieces[t])
-                        if not ok:
-                            continue
-                    token[j], start[j] = t, i
-            if token[i + 1] == -2:
-                token[i + 1], start[i + 1] = -3, i
-        out, at = [], n
-        while at:
-            if token[at] < 0:
-                return self._walk(unit, [(j - start[j], token[j]) for j in range(n + 1)], n)[0]
-            out.append(token[at])
-            at = start[at]
-        out.reverse()
-        return out
-
     def packed(self, text: str | None) -> bytes:
         """Ids of a text as unsigned 32-bit words."""
+        text = (text or "").replace(MARK, " ")
+        if self.trims:
+            text = _SPACES.sub(" ", text.strip(" "))
         if not text:
             return b""
-        if not self.words_apart:
-            return array("I", chain.from_iterable(self.stream([MARK + text.replace(" ", MARK)]))).tobytes()
+        if self.users or not self.words_apart:
+            return self._in_parts((MARK if self.dummy else "") + text.replace(" ", MARK))
         out: list[bytes] = []
-        if MARK in text:
-            text = text.replace(MARK, " ")
         for n, line in enumerate(text.split("\n") if self.lines_apart else [text]):
             if n:
                 out.append(self.bare["\n"])
             # A word mark stands before the text and for every space.
             words = line.split(" ")
-            if n == 0:
+            if n == 0 and self.dummy:
                 words.insert(0, "")
             if words[0]:
                 out.append(self.bare[words[0]])
@@ -303,6 +290,13 @@ class Model:
                 out += map(self.marked.__getitem__, words[1:])
         return b"".join(out)
 
+    def _in_parts(self, marked: str) -> bytes:
+        """The same where user-defined pieces end paths, or where pieces hold several words."""
+        out: list[bytes] = []
+        for n, part in enumerate(self.user_parts.split(marked) if self.user_parts else [marked]):
+            out.append(array("I", [self.users[part]]).tobytes() if n % 2 else self.bare[part] if part else b"")
+        return b"".join(out)
+
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.packed(text), np.uint32).tolist()
 
@@ -318,7 +312,7 @@ class Model:
                 parts.append(raw.decode("utf-8", "replace") + self.shown[i])
                 raw.clear()
             text = "".join(parts) + raw.decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if self.dummy and text.startswith(" ") else text
 
 
 _LOADED: dict[int, Model] = {}
