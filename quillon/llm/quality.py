@@ -2,9 +2,9 @@
 
 Features are word n-grams (words and their shapes) hashed into 2**DIM_BITS slots; a document is the set of its
 slots with equal weight, scaled to unit length, and its score is the logistic of a sparse dot product.
-Training streams a bounded, documented sample of labelled documents through one task, some epochs in the order of
-a hash, with per-coordinate FTRL-proximal updates; L1 keeps the slots of incidental words at exactly zero. The
-model is the weight vector alone, whose size is fixed.
+Training takes a bounded, documented sample of labelled documents to one task, each once, as the numbers of its slots;
+the task goes over them for some epochs, each in an order of its own, with per-coordinate FTRL-proximal updates; L1
+keeps the slots of incidental words at exactly zero. The model is the weight vector alone, whose size is fixed.
 
 Defined results: null and empty texts have only the bias, learned as the logit of the sample's share of label 1;
 without usable labels every score is 0.5; repeated rows are scored each; long texts are read whole.
@@ -126,14 +126,16 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.binary()), batch.column(2)], ["id", "slots", "label"])
 
     examples = sample.select(F.col("id").cast("long"), "text", "label").mapInArrow(hashed, "id long, slots binary, label int")
-    epochs = examples.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
-    ordered = epochs.repartition(1).sortWithinPartitions("epoch", F.xxhash64("id", "epoch"), "label").select("slots", "label")
+    ordered = examples.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "label", "slots").select("slots", "label")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Ftrl(bias=math.log(share / (1 - share)))
+        model, held = Ftrl(bias=math.log(share / (1 - share))), []
         for batch in batches:
-            for slots, label in zip(values(batch.column(0)), values(batch.column(1))):
-                model.update(np.frombuffer(slots, "<u4").astype(np.int64), label)
+            held += [(np.frombuffer(slots, "<u4"), label) for slots, label in zip(values(batch.column(0)), values(batch.column(1)))]
+        for epoch in range(EPOCHS):
+            for i in np.random.default_rng(epoch).permutation(len(held)).tolist():
+                slots, label = held[i]
+                model.update(slots.astype(np.int64), label)
         yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.weights(slice(None)).astype("<f4").tobytes()], pa.binary())], ["bias", "weights"])
 
     got = ordered.mapInArrow(train, "bias double, weights binary").first()

@@ -5,13 +5,15 @@ Learning (from a bounded, documented sample of labelled documents):
 2. A term is kept if it stands in many different contexts (pairs of neighbouring words) of toxic documents, so
    words that merely come along in copies of one toxic document are not kept; of nested terms one is.
 3. Each term gets the share of toxic documents among those that hold it exactly, by how many matches of any term
-   the document has, and among those that hold it only misspelled; quotation and abuse contexts get factors.
+   the document has, and among those that hold it only misspelled. Documents whose matches all stand in quotations, or
+   in abuse, are held against the others with as many matches: the two kinds of context get factors from that.
 
 Scoring: the lexicon is a trie, stems being accepted whatever follows. Levenshtein automata of all terms are run
 at once as their intersection with the trie, made deterministic state by state as words are met, so a word costs
 one look-up per letter until no term is in reach. Each match is then weighed by its context window: quotation
 marks around it and words of reporting speak for quotation; address in the second person and exclamations speak
-for abuse. A document's score is the chance of its worst match.
+for abuse; the heavier side settles the kind, and its factor applies. A document's score is the chance of its worst match.
+The automaton forgets its states when it has STATES, so a long task's memory is bounded.
 
 Defined results: null and empty texts have the base score of documents without a match; long texts are matched
 whole; without usable labels the lexicon is empty and every score is 0; repeated rows are scored each.
@@ -38,8 +40,11 @@ MODULUS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 STEMS = range(4, 9)
 WINDOW = 6
 COUNTS = 4
-#: Candidate terms at most, and the different contexts in toxic documents that a kept term needs.
-CANDIDATES, LEAST_CONTEXTS = 20_000, 8
+#: The different contexts in toxic documents that a kept term needs.
+LEAST_CONTEXTS = 8
+#: States that an automaton remembers, at most.
+STATES = 50_000
+PLAIN, QUOTED, ABUSE = 0, 1, 2
 
 _WORD = re.compile(r"\w+")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -72,9 +77,8 @@ class Entry:
 class Lexicon:
     entries: list[Entry] = field(default_factory=list)
     base: float = 0.0
-    #: Factors of a match in a quotation and elsewhere.
-    quoted: float = 1.0
-    direct: float = 1.0
+    #: Factors of a match in plain text, in a quotation and in abuse.
+    factors: tuple[float, float, float] = (1.0, 1.0, 1.0)
 
 
 class Automaton:
@@ -97,6 +101,9 @@ class Automaton:
                 at = self.children[at][c]
                 self.reach[at] = max(self.reach[at], self.allowed[k])
             self.ends[at].append((k, stem))
+        self._forget()
+
+    def _forget(self) -> None:
         #: A state: (trie node, edits) pairs, and the (term, edits) of stems that are accepted for good.
         self.numbers: dict[tuple[frozenset, frozenset], int] = {}
         self.states: list[tuple[frozenset, frozenset]] = []
@@ -150,6 +157,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[tuple[int, int], ...]:
         """(term, edits) of all terms that the word matches."""
+        if len(self.states) >= STATES:
+            self._forget()
         state = self.start
         for c in word:
             to = self.step[state].get(c)
@@ -166,8 +175,8 @@ class Scorer:
         self.lexicon = lexicon
         self.automaton = Automaton([e.term for e in lexicon.entries])
 
-    def matches(self, text: str | None) -> list[tuple[int, str, int, int, bool]]:
-        """Place, surface, term, edits and whether it is quoted, of every match in a whole text."""
+    def matches(self, text: str | None) -> list[tuple[int, str, int, int, int]]:
+        """Place, surface, term, edits and kind of context of every match in a whole text."""
         if not text or not self.lexicon.entries:
             return []
         low = text.lower()
@@ -178,37 +187,37 @@ class Scorer:
         tokens, out = _TOKEN.findall(low), []
         for i, w in enumerate(tokens):
             for term, edits in hits.get(w, ()):
-                out.append((i, w, term, edits, self._is_quoted(tokens, i)))
+                out.append((i, w, term, edits, self._kind(tokens, i)))
         return out
 
     @staticmethod
-    def _is_quoted(tokens: list[str], i: int) -> bool:
+    def _kind(tokens: list[str], i: int) -> int:
         before, after = tokens[max(0, i - WINDOW) : i], tokens[i + 1 : i + 1 + WINDOW]
         quote = 2.0 * (any(t in QUOTES for t in before) and any(t in QUOTES for t in after)) + any(t in REPORTING for t in before + after)
         abuse = 1.0 * any(t in ADDRESS for t in before + after) + 0.5 * ("!" in after)
-        return quote > abuse
+        return QUOTED if quote > abuse else ABUSE if abuse > quote else PLAIN
 
     def score(self, text: str | None) -> float:
         return self.score_of(self.matches(text))
 
-    def score_of(self, found: list[tuple[int, str, int, int, bool]]) -> float:
+    def score_of(self, found: list[tuple[int, str, int, int, int]]) -> float:
         lex = self.lexicon
         n = min(exact_matches(found), COUNTS)
         chances = [lex.base]
-        for _, _, term, edits, quoted in found:
+        for _, _, term, edits, kind in found:
             e = lex.entries[term]
-            chances.append((e.fuzzy if edits else e.exact[n - 1]) * (lex.quoted if quoted else lex.direct))
+            chances.append((e.fuzzy if edits else e.exact[n - 1]) * lex.factors[kind])
         return min(max(chances), 1.0)
 
 
-def exact_matches(found: list[tuple[int, str, int, int, bool]]) -> int:
+def exact_matches(found: list[tuple[int, str, int, int, int]]) -> int:
     return len({i for i, _, _, edits, _ in found if not edits})
 
 
-def _choose(contexts: dict[str, set[int]], clean: dict[str, int]) -> list[str]:
+def _choose(contexts: dict[str, int], clean: dict[str, int]) -> list[str]:
     """Terms with enough contexts; of nested ones that with the most, on ties the longest."""
     kept: list[str] = []
-    worth = {t: len(c) - 3 * clean.get(t, 0) for t, c in contexts.items()}
+    worth = {t: n - 3 * clean.get(t, 0) for t, n in contexts.items()}
     for term in sorted(worth, key=lambda t: (-worth[t], -len(t.rstrip("*")), t)):
         if worth[term] < LEAST_CONTEXTS:
             break
@@ -221,12 +230,13 @@ def _choose(contexts: dict[str, set[int]], clean: dict[str, int]) -> list[str]:
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = SAMPLE) -> Lexicon:
     """Fit a lexicon on at most `most` labelled documents outside the held-out fold.
 
-    The driver gets counts of candidate terms and, per toxic document of the sample, which candidates it holds.
+    The driver gets the candidate terms, which `most` bounds, with their counts.
     """
     sample = training_sample(docs, labels, label_col, MODULUS, HELD_OUT, most)
     totals = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not totals.get(1):
         return Lexicon()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(seen: dict[str, list[int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x[1] for x in seen.values()], pa.int64()), pa.array([x[0] for x in seen.values()], pa.int64())], ["term", "toxic", "clean"])
@@ -244,27 +254,26 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
     counted = sample.select("text", "label").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # At most half of the documents that hold a term may be clean: a single match may be harmless.
     good = counted.where(F.col("toxic") >= LEAST_CONTEXTS).where(F.col("clean") <= F.col("toxic"))
-    rows = good.orderBy(F.desc(F.col("toxic") - 3 * F.col("clean")), "term").limit(CANDIDATES).collect()
+    rows = good.orderBy("term").collect()
     number = {r.term: i for i, r in enumerate(rows)}
+    shipped = docs.sparkSession.sparkContext.broadcast(number)
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidates of each toxic document with the contexts that they stand in, as number << 32 | context."""
+        """Candidates of toxic documents with the contexts that they stand in, each pair once a batch."""
+        number = shipped.value
         for batch in batches:
-            held = []
+            found = set()
             for text in values(batch.column(0)):
                 words = ["", *_WORD.findall(text.lower()), ""]
-                found = set()
                 for before, w, after in zip(words, words[1:], words[2:]):
                     for t in (w, *(w[:n] + "*" for n in STEMS if len(w) > n)):
                         if t in number:
-                            found.add(number[t] << 32 | zlib.crc32(f"{before} {after}".encode("utf-8", "replace")))
-                held.append(sorted(found))
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int64()))], ["held"])
-
-    contexts: dict[str, set[int]] = {}
-    for row in sample.where("label = 1").select("text").mapInArrow(hold, "held array<long>").toLocalIterator():
-        for x in row.held:
-            contexts.setdefault(rows[x >> 32].term, set()).add(x & 0xFFFFFFFF)
+                            found.add((number[t], zlib.crc32(f"{before} {after}".encode("utf-8", "replace"))))
+            terms, contexts = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(contexts, pa.int64())], ["term", "context"])
+
+    held = sample.where("label = 1").select("text").mapInArrow(hold, "term int, context long")
+    contexts = {rows[r.term].term: r.n for r in held.groupBy("term").agg(F.count_distinct("context").alias("n")).collect()}
     kept = _choose(contexts, {r.term: r.clean for r in rows})
     return _weigh(sample, kept)
 
@@ -285,7 +294,8 @@ def _weigh(sample: DataFrame, kept: list[str]) -> Lexicon:
                     seen.update(("fuzzy", t, label) for t in {t for _, _, t, _, _ in found})
                     seen["none", -1, label] += not found
                 else:
-                    seen["quoted" if all(q for *_, e, q in found if not e) else "direct", n, label] += 1
+                    kinds = {kind for *_, e, kind in found if not e}
+                    seen[f"kind{kinds.pop() if len(kinds) == 1 else PLAIN}", n, label] += 1
         columns = list(zip(*((k, t, lab, n) for (k, t, lab), n in seen.items()))) or [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()))], ["kind", "term", "label", "n"])
 
@@ -301,12 +311,23 @@ def _weigh(sample: DataFrame, kept: list[str]) -> Lexicon:
         mean = whole[0] / sum(whole)
         return [share(str(k), term, mean, 1) for k in range(1, COUNTS + 1)]
 
-    # Quotations count like direct abuse with as many matches until enough labelled ones show otherwise.
-    seen_quoted = sum(n.get(("quoted", k, x), 0) for k in range(1, COUNTS + 1) for x in (0, 1))
-    expected = sum((n.get(("quoted", k, 0), 0) + n.get(("quoted", k, 1), 0)) * share("direct", k, 0.9, 1) for k in range(1, COUNTS + 1))
-    toxic_quoted = sum(n.get(("quoted", k, 1), 0) for k in range(1, COUNTS + 1))
-    quoted = min(1.0, (toxic_quoted + 3) / (expected + 3)) if seen_quoted else 1.0
-    return Lexicon([Entry(t, by_count(k), share("fuzzy", k, 1, 2)) for k, t in enumerate(kept)], share("none", -1, 0, 1), quoted, 1.0)
+    # A kind of context counts like any other with as many matches until enough labelled ones show otherwise.
+    kinds, counts = (PLAIN, QUOTED, ABUSE), range(1, COUNTS + 1)
+
+    def documents(kind: int, k: int, label: int) -> int:
+        return n.get((f"kind{kind}", k, label), 0)
+
+    def factor(kind: int) -> float:
+        others = [x for x in kinds if x != kind]
+        expected = caught = 0.0
+        for k in counts:
+            toxic, clean = (sum(documents(x, k, label) for x in others) for label in (1, 0))
+            expected += (documents(kind, k, 1) + documents(kind, k, 0)) * (toxic + 0.9) / (toxic + clean + 1)
+            caught += documents(kind, k, 1)
+        return (caught + 3) / (expected + 3)
+
+    factors = 1.0, min(1.0, factor(QUOTED)), max(1.0, factor(ABUSE))
+    return Lexicon([Entry(t, by_count(k), share("fuzzy", k, 1, 2)) for k, t in enumerate(kept)], share("none", -1, 0, 1), factors)
 
 
 def score_texts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,10 +28,10 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 import zstandard
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.batches import values
+from quillon.llm.batches import tasks, values
 from quillon.sources.scratch import materialize, new_path
 
 # Fixed values of the formats.
@@ -42,6 +42,8 @@ REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 URN = "urn:x-page:"
 
 MIN_REVISIT = 1000
+#: Common payloads are those of more than 1 / COMMON of all pages, so there are COMMON at most.
+COMMON, COMMON_AT_LEAST = 10_000, 500
 RECORDS, ARCHIVE_BYTES = 4096, 64 << 20
 DICTIONARY, TRAIN_RECORDS = 32 << 10, 256
 READ_AT_ONCE = 1 << 20
@@ -165,14 +167,24 @@ def read_archive(source) -> Iterator[Record]:
 
 
 def plan_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, payload, digest, refers_to (null for responses). Only digests and ids are grouped, after partial
-    aggregation, so equal payloads never meet in one task."""
+    """page_id, url, payload, digest, refers_to (null for responses).
+
+    Digests are counted after partial aggregation. Those of more than 1 / COMMON of all pages, COMMON at most, are
+    broadcast, so their pages stay where they are; other pages that may be revisits meet the row of their digest, and
+    short ones are spread by a hash of the row.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.encode("payload", "UTF-8")))
     long = F.octet_length("payload") >= least
-    shared = rows.where(long).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("shared"), "first")
-    joined = rows.join(shared, (rows.digest == shared.shared) & long, "left")
-    refers_to = F.when(F.col("first").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False)), F.col("first"))
+    shared = materialize(rows.where(long).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "shared-payloads")
+    bound = max(COMMON_AT_LEAST, pages.count() // COMMON)
+    common = F.broadcast(shared.where(F.col("n") > bound).select(F.col("digest").alias("common"), F.col("first").alias("common_first")))
+    rest = shared.where(F.col("n") <= bound).select(F.col("digest").alias("shared"), "first")
+    marked = rows.join(common, (F.col("digest") == F.col("common")) & long, "left")
+    spread = F.concat(F.lit("-"), F.xxhash64("page_id", "url", F.spark_partition_id(), F.monotonically_increasing_id()).cast("string"))
+    keyed = marked.withColumn("key", F.when(long & F.col("common").isNull(), F.col("digest")).otherwise(spread))
+    joined = keyed.join(rest, F.col("key") == F.col("shared"), "left").withColumn("to", F.coalesce("common_first", "first"))
+    refers_to = F.when(F.col("to").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("to"), F.lit(False)), F.col("to"))
     return joined.select("page_id", "url", "payload", "digest", refers_to.alias("refers_to"))
 
 
@@ -234,8 +246,4 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return manifest.select("path", "records").repartition(_tasks(manifest.sparkSession)).mapInArrow(run, schema)
-
-
-def _tasks(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return manifest.select("path", "records").repartition(tasks(manifest.sparkSession)).mapInArrow(run, schema)

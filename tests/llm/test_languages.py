@@ -23,12 +23,13 @@ def test_automaton_parses_into_longest_phrases():
     for _ in range(60):
         sample = bytes(r.choice([1, 2, 3]) for _ in range(r.randint(1, 80)))
         text = bytes(r.choice([1, 2, 3, 3, 4]) for _ in range(r.randint(1, 60)))
-        table = g.suffix_automaton(list(sample)).reshape(-1)
-        state = phrases = 0
+        automaton = g.Transitions(g.suffix_automaton(list(sample)))
+        state, phrases = np.zeros(1, np.int32), 0
         for c in text:
-            to = int(table[state * g.SYMBOLS + c])
-            phrases += to < 0
-            state = ~to if to < 0 else to
+            state, ended = automaton.step(state, np.array([c]))
+            phrases += int(ended[0])
+        # The root has no phrase: the first symbol ends none unless the sample lacks it.
+        phrases -= text[0] not in sample
         assert phrases + 1 == plain_phrases(text, sample)
 
 
@@ -69,6 +70,41 @@ def test_the_held_out_fold_is_not_learned_from(spark, corpus):
     assert g.training_texts(docs) == g.training_texts(lied)
 
 
+def test_query_equals_brute_force(spark, corpus):
+    """Predictions of the table from plain greedy phrases over the same samples; whole texts, held-out flags and columns."""
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in corpus] + [(900, corpus[2][1] * 30, None, "s", 0), (901, "?", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    samples = g.training_texts(docs)
+    found = g.Identifier(samples)
+    known = {n: bytes(g.symbols(t, found.table)) for n, t in samples.items()}
+    got = {r.doc_id: r.lang_pred for r in g.identify(docs, samples).collect()}
+    for r in docs.collect():
+        codes = bytes(g.symbols(r.text, found.table))
+        if not any(codes):
+            assert got[r.doc_id] == "und"
+            continue
+        cost = {n: sum(plain_phrases(codes[a : a + g.SEGMENT], k) for a in range(0, len(codes), g.SEGMENT)) * np.log2(len(k)) for n, k in known.items()}
+        assert got[r.doc_id] == min(sorted(cost), key=cost.get)
+
+
+def test_a_language_learns_from_whole_rows(spark):
+    """Long documents are learned whole where there are no others, and more languages take nothing from one."""
+    long = "wibo lemu " * 9000
+    rows = [(1, long, "xx"), (4, long + "tail", "xx"), (5, "kurz und gut", "de")] + [(10 + i, f"text{i} " * 9, f"l{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held_out = {r.doc_id for r in docs.where(f"crc32(cast(cast(doc_id AS string) AS binary)) % {g.MODULUS} = {g.HELD_OUT}").collect()}
+    texts = g.training_texts(docs)
+    whole = {i: t for i, t, _ in rows if i not in held_out}
+    assert texts["xx"] in {whole[i] for i in (1, 4) if i in whole} or texts["xx"] == "\n".join(whole[i] for i in (1, 4))
+    assert len(texts["xx"]) >= len(long)
+    few = g.training_texts(docs.where("lang IN ('xx', 'de')"))
+    assert all(texts[k] == few[k] for k in few)
+
+
+def test_repeated_rows_are_drawn_once(spark):
+    docs = spark.createDataFrame([(1, "aaa", "xx")] * 50 + [(1, "bbb", "xx"), (3, "ccc", "xx")], "doc_id long, text string, lang string")
+    assert sorted(g.training_texts(docs)["xx"].split("\n")) == ["aaa", "bbb", "ccc"]
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in g.identify(docs, g.training_texts(docs)).collect()] == [(1, "und", 0.0)]

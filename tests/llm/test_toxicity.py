@@ -33,12 +33,60 @@ def test_automaton_equals_edit_distance():
         assert dict(automaton.match(word)) == expected, word
 
 
+def test_the_automaton_forgets(monkeypatch):
+    monkeypatch.setattr(t, "STATES", 300)
+    r, automaton = random.Random(4), t.Automaton(["idiot", "worthless", "lowe*"])
+    words = ["".join(r.choice("abcdeilorstwh") for _ in range(r.randint(3, 9))) for _ in range(3000)]
+    fresh = {w: t.Automaton(["idiot", "worthless", "lowe*"]).match(w) for w in words[:200]}
+    most = 0
+    for w in words * 2:
+        found = automaton.match(w)
+        most = max(most, len(automaton.states))
+        assert w not in fresh or found == fresh[w]
+    assert most <= 300 + 20
+
+
+def test_factors_of_contexts(make_docs, spark, prose):
+    """Matches in quotations that are labelled clean weigh less, those in abuse no less than others."""
+    rows, labels = [], []
+    for i in range(300):
+        words = prose(i, 30).split()
+        kind = i % 12
+        term = ["zorgon"] if kind < 8 else ['he said "', "zorgon", '"'] if kind == 8 else ["you", "zorgon", "!"] if kind == 9 else []
+        words[10:10] = term
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(kind < 7 or kind == 9)))
+    plain, quoted, abuse = t.learn(make_docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).factors
+    assert plain == 1.0 and quoted < 0.5 and abuse > 1.1
+
+
+def plain_score(lexicon, text):
+    """The chance of the worst match, with edit distances to every term."""
+    import re
+
+    low = (text or "").lower()
+    hits = []
+    tokens = re.findall(r"\w+|[^\w\s]", low)
+    for i, w in enumerate(tokens):
+        if not re.fullmatch(r"\w+", w):
+            continue
+        for k, e in enumerate(lexicon.entries):
+            stem = e.term.rstrip("*")
+            best = min(distance(stem, w[:n]) for n in range(len(w) + 1)) if e.term.endswith("*") else distance(stem, w)
+            if best <= t.edits_allowed(e.term):
+                hits.append((i, k, best, t.Scorer._kind(tokens, i)))
+    n = min(len({i for i, _, e, _ in hits if not e}), t.COUNTS)
+    chances = [lexicon.base] + [(lexicon.entries[k].fuzzy if e else lexicon.entries[k].exact[n - 1]) * lexicon.factors[kind] for _, k, e, kind in hits]
+    return min(1.0, max(chances))
+
+
 def test_contexts():
-    lexicon = t.Lexicon([t.Entry("idiot", [0.9] * t.COUNTS, 0.6)], 0.01, quoted=0.2, direct=1.0)
+    lexicon = t.Lexicon([t.Entry("idiot", [0.9] * t.COUNTS, 0.6)], 0.01, (0.5, 0.2, 1.1))
     scorer = t.Scorer(lexicon)
-    assert scorer.score("you are an idiot!") == pytest.approx(0.9)
+    assert scorer.score("you are an idiot!") == pytest.approx(0.99)
+    assert scorer.score("the idiot went home") == pytest.approx(0.45)
     assert scorer.score('he was called "idiot" by the press, the report said') == pytest.approx(0.18)
-    assert scorer.score("what an idoit, idot") == pytest.approx(0.6)
+    assert scorer.score("what an idoit, idot") == pytest.approx(0.3)
     assert scorer.score("nothing here") == pytest.approx(0.01) == scorer.score("") == scorer.score(None)
 
 
@@ -78,6 +126,14 @@ def test_scores_and_filter(spark, make_docs, corpus):
     assert kept.columns == docs.columns and kept.count() == sum(s < t.THRESHOLD for s in scores.values()) + 1
 
 
+def test_scores_equal_brute_force(make_docs, corpus):
+    rows, labels = corpus
+    docs = make_docs(rows[:200] + [(9000, None), (9001, ""), (9002, "you krastulol zrogon!")])
+    lexicon = t.learn(make_docs(rows), labels)
+    got = {r.doc_id: r.score for r in t.score_texts(docs, lexicon).collect()}
+    assert got == {r.doc_id: pytest.approx(plain_score(lexicon, r.text)) for r in docs.collect()}
+
+
 def test_no_labels(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     lexicon = t.learn(make_docs(["you idiot"]), none)

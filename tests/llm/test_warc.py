@@ -52,10 +52,13 @@ def test_cut_archives_are_errors(cut):
         list(warc.read_archive(io.BytesIO(archive([record(1, b"a" * 100), record(2, b"b")])[:cut])))
 
 
-def test_tables(spark):
+@pytest.mark.parametrize("common", [500, 1])
+def test_tables(spark, monkeypatch, common):
+    monkeypatch.setattr(warc, "COMMON_AT_LEAST", common)
+    monkeypatch.setattr(warc, "COMMON", 10**9)
     long, other = "é" * 600, "x" * 1000
     rows = [(1, "http://a\r\nb", long), (5, None, long), (3, "u", long), (4, "u", other), (6, "u", "short"), (7, "u", "short"), (8, "u", None), (None, "u", other), (9, "u", "y" * 3_000_000), (5, None, long)]
-    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
+    pages = spark.createDataFrame([(*r, "clash", 1, 2) for r in rows], "page_id long, url string, html string, digest string, first int, shared int")
     got = warc.read_archives(warc.write_archives(warc.plan_revisits(pages))).collect()
     told = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str)
 
