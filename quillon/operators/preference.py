@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
-FOLDS, ROUNDS, POWER_ROUNDS = 5, 150, 20
+FOLDS, NEWTON_STEPS = 5, 30
 STRENGTHS = (0.3, 0.03, 0.003)
 LEAST_PER_CLASS, LEAST_AUC, LEAST_MARGIN, MARGIN_SCALE = 30, 0.6, 0.02, 0.3
 MOST_EVALUATED, MOST_FITTED = 4_000, 20_000
@@ -35,43 +34,33 @@ def classes(labels: DataFrame) -> DataFrame:
     return got.select("photo_id", positive.alias("positive")).where("positive IS NOT NULL")
 
 
-def group_key(photo_id: np.ndarray, burst: np.ndarray, dup: np.ndarray) -> np.ndarray:
-    """Rows of one burst, else of one duplicate group, fall in one fold. Missing: negative."""
-    with np.errstate(over="ignore"):
-        return np.where(burst >= 0, burst * 4 + 1, np.where(dup >= 0, dup * 4 + 2, photo_id * 4 + 3)).astype(np.int64)
+def hash_order(column: Column) -> Column:
+    """A number of 0 to 2**32 from a hash of the column's text; any engine with MD5 gives the same."""
+    return F.conv(F.substring(F.md5(column.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def mixed(ids: np.ndarray) -> np.ndarray:
-    """Splitmix64 of ids, as unsigned words (SQL arithmetic would overflow)."""
-    with np.errstate(over="ignore"):
-        z = ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
+def fold_of(photo_id: Column, burst_id: Column, dup_group_id: Column) -> Column:
+    """Photos of one burst, else of one duplicate group, fall in one fold."""
+    name = F.coalesce(F.concat(F.lit("burst "), burst_id.cast("string")), F.concat(F.lit("copies "), dup_group_id.cast("string")), F.concat(F.lit("photo "), photo_id.cast("string")))
+    return (hash_order(name) % FOLDS).cast("int")
 
 
 def folds(photos: DataFrame) -> DataFrame:
     """photo_id, fold. photos: photo_id, burst_id, dup_group_id."""
+    return photos.select("photo_id", fold_of(F.col("photo_id"), F.col("burst_id"), F.col("dup_group_id")).alias("fold"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            key = group_key(b["photo_id"].to_numpy(), b["burst_id"].fillna(-1).to_numpy(np.int64), b["dup_group_id"].fillna(-1).to_numpy(np.int64))
-            yield pd.DataFrame({"photo_id": b["photo_id"], "fold": (mixed(key) % np.uint64(FOLDS)).astype(np.int32)})
 
-    return photos.select("photo_id", "burst_id", "dup_group_id").mapInPandas(run, "photo_id long, fold int")
+def stratified(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows of a key, which classes share evenly unless one has fewer; rows in hash order.
 
-
-def stratified(ids: np.ndarray, positive: np.ndarray, most: int) -> np.ndarray:
-    """Places of at most `most` rows by id: the smaller class keeps up to half, each class in hash order."""
-    if len(ids) <= most:
-        return np.arange(len(ids))
-    h = mixed(ids)
-    order = np.lexsort((ids, h))
-    pos, neg = order[positive[order]], order[~positive[order]]
-    small, big = (pos, neg) if len(pos) <= len(neg) else (neg, pos)
-    small = small[: most // 2]
-    chosen = np.concatenate([small, big[: most - len(small)]])
-    return chosen[np.argsort(ids[chosen], kind="stable")]
+    rows: key, photo_id, positive.
+    """
+    w = Window.partitionBy(key, "positive")
+    ranked = rows.withColumn("r", F.row_number().over(w.orderBy(hash_order(F.col("photo_id")), "photo_id")))
+    sizes = rows.groupBy(key).agg(F.count_if("positive").alias("yes"), F.count_if(~F.col("positive")).alias("no"))
+    half = most // 2
+    room = F.when(F.col("positive"), F.greatest(F.lit(half), most - F.col("no"))).otherwise(F.greatest(F.lit(most - half), most - F.col("yes")))
+    return ranked.join(sizes, key).where(F.col("r") <= room).drop("r", "yes", "no")
 
 
 def column_stats(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,23 +79,27 @@ def design(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, strength: float) -> np.ndarray:
-    """Class-balanced logistic regression with an L2 penalty on all but the bias, by accelerated gradient steps."""
+    """Class-balanced logistic regression with an L2 penalty on all but the bias (the last column), by Newton steps that
+    are halved until the loss falls."""
     n, d = x.shape
-    pos = max(int(y.sum()), 1)
-    weight = np.where(y, n / (2 * pos), n / (2 * max(n - pos, 1)))
-    v, top = 1 + np.arange(d) % 7 * 0.1, 1.0
-    for _ in range(POWER_ROUNDS):
-        v = v / max(np.linalg.norm(v), 1e-12)
-        grown = x.T @ (weight * (x @ v)) / n
-        top, v = max(float(grown @ v), 1e-3), grown
-    rate = 1 / (0.25 * top + strength)
-    penal = np.r_[np.full(d - 1, strength), 0.0]
-    w = ahead = np.zeros(d)
-    t = 1.0
-    for _ in range(ROUNDS):
-        slope = x.T @ (weight * (1 / (1 + np.exp(-np.clip(x @ ahead, -60, 60))) - y)) / n + penal * ahead
-        new, t_new = ahead - rate * slope, (1 + math.sqrt(1 + 4 * t * t)) / 2
-        ahead, w, t = new + (t - 1) / t_new * (new - w), new, t_new
+    share = np.where(y, 0.5 / max(y.sum(), 1), 0.5 / max((~y).sum(), 1))
+    ridge = np.append(np.full(d - 1, strength), 0.0)
+    sign = np.where(y, 1.0, -1.0)
+
+    def loss(w: np.ndarray) -> float:
+        return float(share @ np.logaddexp(0, -sign * (x @ w)) + 0.5 * ridge @ w**2)
+
+    w, now = np.zeros(d), math.inf
+    for _ in range(NEWTON_STEPS):
+        chance = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
+        slope = x.T @ (share * (chance - y)) + ridge * w
+        bend = (x * (share * chance * (1 - chance))[:, None]).T @ x + np.diag(ridge + 1e-9)
+        step, size = np.linalg.solve(bend, slope), 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if now - (now := loss(w)) < 1e-10:
+            break
     return w
 
 
@@ -130,56 +123,58 @@ class Outcome:
     sd: list[float] = field(default_factory=list)
 
 
-def train(ids: np.ndarray, groups: np.ndarray, x: np.ndarray, y: np.ndarray, base: np.ndarray) -> Outcome:
-    """Grouped cross-validation of the strengths, the gate against the generic score, and the final fit.
+def cross_scores(x: np.ndarray, y: np.ndarray, fold: np.ndarray, strength: float) -> np.ndarray:
+    """Each row's score from the model of all other folds."""
+    out = np.zeros(len(y))
+    for f in np.unique(fold):
+        inside = fold != f
+        if inside.any():
+            stats = column_stats(x[inside])
+            out[~inside] = design(x[~inside], *stats) @ fit(design(x[inside], *stats), y[inside], strength)
+    return out
+
+
+def train(x: np.ndarray, y: np.ndarray, fold: np.ndarray, base: np.ndarray, evaluated: np.ndarray | None = None) -> Outcome:
+    """Grouped cross-validation of the strengths on the evaluated rows, the gate against the generic score, and the fit.
 
     The model is used only if its AUC is 0.6 at least and betters the generic score's by a margin that grows as the
     smaller class shrinks. Labels are a person's decisions, capped by the caller: one task in memory.
     """
-    out = Outcome()
-    if min(int(y.sum()), int((~y).sum())) < LEAST_PER_CLASS:
-        return out
-    at = stratified(ids, y, MOST_EVALUATED)
-    xe, ye, fold = x[at], y[at], mixed(groups[at]) % np.uint64(FOLDS)
-    held = np.zeros((len(STRENGTHS), len(at)))
-    for f in range(FOLDS):
-        inside = fold != np.uint64(f)
-        if not inside.any():
-            continue
-        m = design(xe, *column_stats(xe[inside]))
-        for k, strength in enumerate(STRENGTHS):
-            held[k, ~inside] = m[~inside] @ fit(m[inside], ye[inside], strength)
-    found = [auc(h, ye) or 0.5 for h in held]
-    best = max(range(len(STRENGTHS)), key=lambda k: (found[k], -k))
-    known = ~np.isnan(base[at])
-    out.auc, out.base_auc = found[best], auc(base[at][known], ye[known]) or 0.5
-    out.margin = max(LEAST_MARGIN, MARGIN_SCALE / math.sqrt(max(1, min(int(ye.sum()), int((~ye).sum())))))
-    out.strength = STRENGTHS[best]
-    out.used = out.auc >= LEAST_AUC and out.auc - out.base_auc >= out.margin
+    rarer = lambda v: min(int(v.sum()), int((~v).sum()))
+    if rarer(y) < LEAST_PER_CLASS:
+        return Outcome()
+    e = np.ones(len(y), bool) if evaluated is None else evaluated
+    tried = {s: auc(cross_scores(x[e], y[e], fold[e], s), y[e]) or 0.5 for s in STRENGTHS}
+    strength = max(STRENGTHS, key=tried.get)
+    scored = e & ~np.isnan(base)
+    out = Outcome(auc=tried[strength], base_auc=auc(base[scored], y[scored]) or 0.5, strength=strength)
+    out.margin = max(LEAST_MARGIN, MARGIN_SCALE / math.sqrt(max(1, rarer(y[e]))))
+    out.used = out.auc >= max(LEAST_AUC, out.base_auc + out.margin)
     if out.used:
         mean, sd = column_stats(x)
-        out.weights, out.mean, out.sd = fit(design(x, mean, sd), y, out.strength).tolist(), mean.tolist(), sd.tolist()
+        out.weights, out.mean, out.sd = fit(design(x, mean, sd), y, strength).tolist(), mean.tolist(), sd.tolist()
     return out
 
 
 def train_by(rows: DataFrame, key: str) -> DataFrame:
     """key, used, auc, base_auc, margin, strength, weights of a model per key (a user).
 
-    rows: key, photo_id, burst_id, dup_group_id, features (array), positive, base. At most MOST_FITTED rows of a key,
-    chosen by hash on the way into the group, which is the model's documented bound.
+    rows: key, photo_id, burst_id, dup_group_id, features (array), positive, base. Of a key at most MOST_FITTED rows are
+    fitted and MOST_EVALUATED of them evaluated, chosen by hash on the way into the group, which is the model's documented
+    bound.
     """
-    w = Window.partitionBy(key, "positive").orderBy(F.xxhash64("photo_id"), "photo_id")
-    bounded = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= MOST_FITTED // 2).drop("r")
+    fold = fold_of(F.col("photo_id"), F.col("burst_id"), F.col("dup_group_id")).alias("fold")
+    bounded = stratified(rows.select(key, "photo_id", fold, "features", "positive", "base"), key, MOST_FITTED)
+    chosen = stratified(bounded, key, MOST_EVALUATED).select(key, "photo_id", F.lit(True).alias("evaluated"))
+    ready = bounded.join(chosen, [key, "photo_id"], "left").withColumn("evaluated", F.coalesce("evaluated", F.lit(False)))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("photo_id", ignore_index=True)
-        ids = b["photo_id"].to_numpy(np.int64)
-        groups = group_key(ids, b["burst_id"].fillna(-1).to_numpy(np.int64), b["dup_group_id"].fillna(-1).to_numpy(np.int64))
         x = np.array([[np.nan if v is None else v for v in f] for f in b["features"]], float)
-        o = train(ids, groups, x, b["positive"].to_numpy(bool), b["base"].to_numpy(float))
+        o = train(x, b["positive"].to_numpy(bool), b["fold"].to_numpy(), b["base"].to_numpy(float), b["evaluated"].to_numpy(bool))
         return pd.DataFrame({key: [b[key].iloc[0]], "used": [o.used], "auc": [o.auc], "base_auc": [o.base_auc], "margin": [o.margin], "strength": [o.strength], "weights": [o.weights]})
 
-    return bounded.select(key, "photo_id", "burst_id", "dup_group_id", "features", "positive", "base").groupBy(key).applyInPandas(run, f"{key} long, used boolean, auc double, base_auc double, margin double, strength double, weights array<double>")
+    return ready.groupBy(key).applyInPandas(run, f"{key} long, used boolean, auc double, base_auc double, margin double, strength double, weights array<double>")
 
 
 def explain(parts: DataFrame) -> DataFrame:

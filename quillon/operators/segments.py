@@ -6,7 +6,7 @@ reach across splits a session into chunks that are segmented independently and g
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,75 +63,87 @@ def adaptive_t_burst(items: DataFrame, key: str) -> DataFrame:
     return every.join(best, key, "left").select(key, F.coalesce(found, F.lit(DEFAULT_T_BURST)).cast("long").alias("t_burst"))
 
 
-class _Likeness:
-    def __init__(self, rows: Columns, p: GroupParams) -> None:
-        self.p, self.t, self.device = p, rows["t"], rows["device"]
-        self.hash = [None if x is None else x & (2**64 - 1) for x in rows["phash"]]
-        self.vector = [None if not v else np.asarray(v, np.float32) for v in rows["embedding"]]
-        self.size = [0.0 if v is None else float(np.linalg.norm(v)) for v in self.vector]
-
-    def __call__(self, i: int, j: int) -> float:
-        a, b = self.vector[i], self.vector[j]
-        cos = bits = None
-        if a is not None and b is not None and len(a) == len(b):
-            size = self.size[i] * self.size[j]
-            cos = float(a @ b) / size if size >= 1e-12 else 0.0
-        if self.hash[i] is not None and self.hash[j] is not None:
-            bits = 1.0 - (self.hash[i] ^ self.hash[j]).bit_count() / 64.0
-        if cos is not None and bits is not None:
-            return self.p.w_embedding * cos + (1 - self.p.w_embedding) * bits
-        return cos if cos is not None else bits if bits is not None else 0.0
-
-    def linked(self, i: int, j: int, alike: float, t_burst: int) -> bool:
-        if self.t[i] is None or self.t[j] is None:
-            return alike >= self.p.theta_strict
-        apart = abs(self.t[j] - self.t[i])
-        return (apart <= t_burst and alike >= self.p.theta_burst) or (apart <= self.p.t_slow_ms and alike >= self.p.theta_strict)
+def likeness(rows: Columns, p: GroupParams) -> tuple[np.ndarray, Callable[[int, int], float]]:
+    """[row, lag]: how alike a row and that so many rows before it are (NaN before the first row), for all lags of the
+    look-back at once; and the same of any two rows."""
+    n = len(rows["t"])
+    length = np.array([len(v) if v else 0 for v in rows["embedding"]])
+    unit = np.zeros((n, max(1, int(length.max(initial=0)))), np.float32)
+    for i, v in enumerate(rows["embedding"]):
+        if v:
+            unit[i, : length[i]] = v
+    size = np.linalg.norm(unit, axis=1)
+    hashed = np.array([x is not None for x in rows["phash"]])
+    bits = np.array([0 if x is None else x & 0xFFFFFFFFFFFFFFFF for x in rows["phash"]], np.uint64)
+
+    def between(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        across = size[i] * size[j]
+        cos = np.divide(np.einsum("ij,ij->i", unit[i], unit[j]), across, out=np.zeros(len(i)), where=across >= 1e-12)
+        same = 1.0 - np.bitwise_count(bits[i] ^ bits[j]) / 64.0
+        seen, known = (length[i] > 0) & (length[i] == length[j]), hashed[i] & hashed[j]
+        return np.where(seen & known, p.w_embedding * cos + (1 - p.w_embedding) * same, np.where(seen, cos, np.where(known, same, 0.0)))
+
+    lags = max(p.lookback, 1)
+    out = np.full((n, lags), np.nan)
+    for lag in range(1, min(lags, n - 1) + 1):
+        out[lag:, lag - 1] = between(np.arange(lag, n), np.arange(n - lag))
+    return out, lambda i, j: float(between(np.array([i]), np.array([j]))[0])
 
 
 def segment(rows: Columns, t_burst: int, p: GroupParams) -> list[int]:
-    """Burst number of each row of one chunk in time order, numbered by first row."""
-    like, burst, opened = _Likeness(rows, p), [], []
-    for i in range(len(rows["t"])):
-        chosen, best = None, -math.inf
-        for j in range(i - 1, max(-1, i - 1 - max(p.lookback, 1)), -1):  # nearer rows win ties
-            alike = like(j, i)
-            if alike > best and like.linked(j, i, alike, t_burst) and like(opened[burst[j]], i) >= p.theta_drift:
-                chosen, best = burst[j], alike
-        if chosen is None:
-            chosen = len(opened)
-            opened.append(i)
-        burst.append(chosen)
-    _absorb(like, burst, t_burst, p)
-    number: dict[int, int] = {}
-    return [number.setdefault(b, len(number)) for b in burst]
-
-
-def _absorb(like: _Likeness, burst: list[int], t_burst: int, p: GroupParams) -> None:
-    """Short runs of whole bursts inside another join it, where one known camera kept up the cadence."""
-    sizes: dict[int, int] = {}
-    for b in burst:
-        sizes[b] = sizes.get(b, 0) + 1
-    at = 1
-    while at < len(burst) - 1:
-        host = burst[at - 1]
-        end = at
-        while end < len(burst) and end - at < p.max_fill and burst[end] != host:
-            end += 1
-        if end == at or end == len(burst) or burst[end] != host:
-            at += 1
+    """Burst number of each row of one chunk in time order, numbered by first row.
+
+    All links within the look-back are found first, as a matrix of lags. Then labels run forward: a row takes the label of
+    the likest linked row whose burst has not drifted from its first row, else a label of its own.
+    """
+    n = len(rows["t"])
+    if not n:
+        return []
+    alike, between = likeness(rows, p)
+    t = np.array([np.nan if x is None else x for x in rows["t"]], float)
+    linked = np.zeros(alike.shape, bool)
+    for lag in range(1, min(alike.shape[1], n - 1) + 1):
+        apart, s = np.abs(t[lag:] - t[:-lag]), alike[lag:, lag - 1]
+        near = ((apart <= t_burst) & (s >= p.theta_burst)) | ((apart <= p.t_slow_ms) & (s >= p.theta_strict))
+        linked[lag:, lag - 1] = np.where(np.isnan(apart), s >= p.theta_strict, near)
+    label = np.arange(n)  # a burst is named by its first row
+    order = np.argsort(np.where(linked, -alike, np.inf), axis=1, kind="stable")  # nearer rows win ties
+    for i in np.flatnonzero(linked.any(axis=1)).tolist():
+        drifted: set[int] = set()
+        for lag in order[i, : linked[i].sum()].tolist():
+            first = int(label[i - lag - 1])
+            if first not in drifted:
+                if between(first, i) >= p.theta_drift:
+                    label[i] = first
+                    break
+                drifted.add(first)
+    _fill_gaps(label, t, rows["device"], t_burst, p)
+    _, first, number = np.unique(label, return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[number].tolist()
+
+
+def _fill_gaps(label: np.ndarray, t: np.ndarray, device: list, t_burst: int, p: GroupParams) -> None:
+    """Islands between two rows of one burst join it, if they are whole bursts, short, and one known camera kept up the
+    cadence over them. Overlapping islands: the earliest counts."""
+    n = len(label)
+    by_label = np.argsort(label, kind="stable")
+    follows = np.full(n, -1)  # the next row of the same burst
+    same = label[by_label][1:] == label[by_label][:-1]
+    follows[by_label[:-1][same]] = by_label[1:][same]
+    steady = np.r_[False, np.diff(t) <= t_burst]  # NaN: unsteady
+    breaks = np.cumsum(np.r_[0, ~steady])
+    last = np.zeros(n, np.int64)
+    np.maximum.at(last, label, np.arange(n))
+    resume = 0
+    for before in np.flatnonzero((follows > np.arange(n) + 1) & (follows - np.arange(n) <= p.max_fill + 1)).tolist():
+        after = int(follows[before])
+        if before + 1 < resume:
             continue
-        inner = burst[at:end]
-        whole = all(inner.count(b) == sizes[b] for b in inner)
-        times = like.t[at - 1 : end + 1]
-        steady = all(x is not None and y is not None and y - x <= t_burst for x, y in zip(times, times[1:]))
-        cameras = set(like.device[at - 1 : end + 1])
-        if whole and steady and len(cameras) == 1 and None not in cameras:
-            for k in range(at, end):
-                sizes[burst[k]] -= 1
-                sizes[host] += 1
-                burst[k] = host
-        at = end
+        resume = after
+        inside = label[before + 1 : after]
+        whole = (inside > before).all() and (last[inside] < after).all()
+        if whole and breaks[after + 1] == breaks[before + 1] and len(cameras := set(device[before : after + 1])) == 1 and None not in cameras:
+            label[before + 1 : after] = label[before]
 
 
 def bursts(items: DataFrame, p: GroupParams = GroupParams(), key: str = "session_id") -> DataFrame:

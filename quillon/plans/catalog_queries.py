@@ -92,9 +92,9 @@ def task_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.recent(e.selectExpr("event_id AS task_id", "ts AS created_at", "CASE WHEN event_type = 'view' THEN 'done' ELSE 'running' END AS status")).select(F.col("task_id").alias("event_id"))
 
 
-@register("sidecar_sync", f"{oracle_views('photo')} SELECT photo_id, CASE WHEN photo_id % 3 = 0 THEN 5 ELSE user_rating END AS rating, CASE WHEN photo_id % 2 <> 0 THEN CASE WHEN user_rating IS NULL AND color_label IS NULL THEN 'equal' ELSE 'catalog' END WHEN user_rating IS NOT DISTINCT FROM 5 AND color_label IS NOT DISTINCT FROM color_label THEN 'equal' WHEN photo_id % 3 = 0 THEN 'sidecar' ELSE 'catalog' END AS source FROM photo WHERE photo_id % 6 <> 3")
+@register("sidecar_sync", f"{oracle_views('photo')} SELECT photo_id, CASE WHEN photo_id % 6 = 0 THEN 5 ELSE user_rating END AS rating, CASE WHEN photo_id % 2 <> 0 THEN CASE WHEN user_rating IS NULL AND color_label IS NULL THEN 'equal' ELSE 'catalog' END WHEN user_rating IS NOT DISTINCT FROM 5 AND color_label IS NOT DISTINCT FROM color_label THEN 'equal' WHEN photo_id % 3 = 0 THEN 'sidecar' ELSE 'catalog' END AS source  FROM photo")
 def sidecar_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = view(spark, sf_dir, "photo").where("photo_id % 6 <> 3")
+    p = view(spark, sf_dir, "photo")
     cars = p.where("photo_id % 2 = 0").selectExpr("photo_id", "5 AS rating", "color_label AS label", "10L AS file_mtime", "CASE WHEN photo_id % 3 = 0 THEN 9L ELSE 10L END AS seen_mtime")
     return m.sync_sidecars(p.select("photo_id", F.col("user_rating").alias("rating"), F.col("color_label").alias("label")), cars).select("photo_id", "rating", "source")
 
@@ -128,10 +128,10 @@ def rejected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.rejected_with_companions(view(spark, sf_dir, "photo"))
 
 
-@register("theta_candidates", f"{oracle_views('face')}, f AS (SELECT part_key * 1000 + line * 100 + supplier AS face_id, person_id, photo_id % 5000 AS track_id, photo_id % 300 AS session_id FROM face), t AS (SELECT DISTINCT * FROM f WHERE face_id % 1000 = 107) SELECT DISTINCT t.face_id AS target_id, f.face_id FROM t JOIN f ON f.face_id <> t.face_id AND (f.person_id = t.person_id OR f.track_id = t.track_id OR (f.person_id IS NULL AND f.session_id = t.session_id))")
+@register("theta_candidates", f"{oracle_views('face')}, f AS (SELECT part_key * 1000 + line * 100 + supplier AS face_id, person_id, photo_id % 5000 AS track_id, photo_id % 300 AS session_id FROM face), t AS (SELECT DISTINCT * FROM f WHERE face_id % 100 = 0) SELECT DISTINCT t.face_id AS target_id, f.face_id FROM t JOIN f ON f.face_id <> t.face_id AND (f.person_id = t.person_id OR f.track_id = t.track_id OR (f.person_id IS NULL AND f.session_id = t.session_id))")
 def theta_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = view(spark, sf_dir, "face").selectExpr("part_key * 1000 + line * 100 + supplier AS face_id", "person_id", "photo_id % 5000 AS track_id", "photo_id % 300 AS session_id")
-    return m.theta_candidates(f.where("face_id % 1000 = 107").distinct(), f)
+    return m.theta_candidates(f.where("face_id % 100 = 0").distinct(), f)
 
 
 @register("session_list", f"{oracle_views('photo')} SELECT c_custkey AS session_id, n_name AS root, count(photo_id)::BIGINT AS photo_count FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN photo ON session_id = c_custkey GROUP BY 1, 2")

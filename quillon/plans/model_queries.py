@@ -28,7 +28,7 @@ def label_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.classes(_labels(spark, sf_dir))
 
 
-@register("preference_folds")
+@register("preference_folds", f"{oracle_views('photo')} SELECT photo_id, (('0x' || substr(md5(coalesce('burst ' || burst_id, 'copies ' || dup_group_id, 'photo ' || photo_id)), 1, 8))::BIGINT % 5)::INT AS fold FROM photo")
 def preference_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.folds(view(spark, sf_dir, "photo"))
 
@@ -55,7 +55,7 @@ def face_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks within bursts; tests hold them against hand-made bursts."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     photos = view(spark, sf_dir, "photo").where("burst_id IS NOT NULL").select("photo_id", "burst_id", F.col("rank_in_burst").alias("frame"))
-    faces = view(spark, sf_dir, "face").withColumn("vec_id", F.col("supplier") % 20).join(photos, "photo_id").join(vectors, "vec_id").withColumn("face_id", F.col("part_key") * 100 + F.col("line") * 10)
+    faces = view(spark, sf_dir, "face").withColumn("vec_id", F.col("supplier") % 500).join(photos, "photo_id").join(vectors, "vec_id").withColumn("face_id", F.col("part_key") * 100 + F.col("line") * 10)
     return people.face_tracks(faces.select("burst_id", "face_id", "frame", *[F.col(c).cast("double").alias(c) for c in "xywh"], "embedding"))
 
 

@@ -117,28 +117,59 @@ def test_alignment():
     p = alignment.AlignParams()
     true = [(i * 400_000, 90_000 + r.randrange(-2_000, 2_000)) for i in range(12)]
     noise = [(r.randrange(5_000_000), r.randrange(-80_000_000, 80_000_000)) for _ in range(6)]
-    centre, support, sure = alignment.find_peak(true + noise, p)
+    peak = lambda rows: alignment.peak_of(*(np.array(c) for c in zip(*rows)), p)
+    centre, support, sure = peak(true + noise)
     assert abs(centre - 90_000) < 2_000 and support == 12 and sure > 0.5
-    assert alignment.find_peak(noise, p) is None and alignment.find_peak(true[:2], p) is None
-    assert alignment.chain({1: (500, 0.9)}, {(1, 2): (100, 0.8), (2, 3): (-40, 0.7)}, {1: 5, 2: 5, 3: 5, 4: 5}) == {1: (500, 0.9), 2: (600, 0.8), 3: (560, 0.7)}
-    assert alignment.chain({}, {(1, 2): (100, 0.8)}, {1: 3, 2: 9}) == {2: (0, 1.0), 1: (-100, 0.8)}
+    assert peak(noise) is None and peak(true[:2]) is None
+    assert alignment.chained({1: (500, 0.9)}, {(1, 2): (100, 0.8), (2, 3): (-40, 0.7)}, {1: 5, 2: 5, 3: 5, 4: 5}) == {1: (500, 0.9), 2: (600, 0.8), 3: (560, 0.7)}
+    assert alignment.chained({}, {(1, 2): (100, 0.8)}, {1: 3, 2: 9}) == {2: (0, 1.0), 1: (-100, 0.8)}
+    # The surest path, not the shortest.
+    assert alignment.chained({1: (0, 1.0)}, {(1, 3): (7, 0.2), (1, 2): (10, 0.9), (2, 3): (20, 0.8)}, {1: 1, 2: 1, 3: 1}) == {1: (0, 1.0), 2: (10, 0.9), 3: (30, 0.8)}
 
 
-def test_preference():
+def test_peaks_and_chains_of_tables(spark):
+    r = random.Random(6)
+    rows = [(1, 2, i * 400_000, 90_000 + r.randrange(-2_000, 2_000)) for i in range(12)] + [(1, 3, r.randrange(5_000_000), r.randrange(-80_000_000, 80_000_000)) for i in range(6)]
+    found = alignment.offset_peaks(spark.createDataFrame(rows, "low long, high long, t long, delta long"), ["low", "high"]).collect()
+    assert [(x.low, x.high, x.support) for x in found] == [(1, 2, 12)]
+    anchors = spark.createDataFrame([(5, 1, 500, 0.9)], "session_id long, device long, offset long, confidence double")
+    pairs = spark.createDataFrame([(5, 1, 2, 100, 0.8), (5, 2, 3, -40, 0.7), (6, 1, 2, 100, 0.8)], "session_id long, low long, high long, delta long, confidence double")
+    counts = spark.createDataFrame([(5, d, 5) for d in (1, 2, 3, 4)] + [(6, 1, 3), (6, 2, 9)], "session_id long, device long, n long")
+    got = {(x.session_id, x.device): (x.offset, x.confidence) for x in alignment.chained_offsets(anchors, pairs, counts).collect()}
+    assert got == {(5, 1): (500, 0.9), (5, 2): (600, 0.8), (5, 3): (560, 0.7), (6, 2): (0, 1.0), (6, 1): (-100, 0.8)}
+    by_hand = spark.createDataFrame([(5, 2, 7), (5, 3, None), (5, 9, 1)], "session_id long, device_id long, offset_ms long")
+    kept = alignment.with_offset(spark.createDataFrame([(5, 2, 600, "gps", 0.8), (5, 3, 560, "gps", 0.7), (6, 1, 3, "visual", 0.6)], "session_id long, device_id long, offset_ms long, source string, confidence double"), by_hand)
+    assert sorted(tuple(x) for x in kept.collect()) == [(5, 2, 7, "manual", 1.0), (5, 9, 1, "manual", 1.0), (6, 1, 3, "visual", 0.6)]
+
+
+def test_preference(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(400, 5))
     x[r.random(x.shape) < 0.05] = np.nan
     y = np.nan_to_num(x[:, 0]) - np.nan_to_num(x[:, 3]) + r.normal(size=400) * 0.3 > 0
-    ids = np.arange(400)
-    out = preference.train(ids, preference.group_key(ids, np.where(ids % 3 == 0, ids // 6, -1), np.full(400, -1)), x, y, r.random(400))
+    fold = np.arange(400) // 2 % 5
+    out = preference.train(x, y, fold, r.random(400))
     assert out.used and out.auc > 0.9 and out.weights[0] > 0.5 and out.weights[3] < -0.5 and abs(out.weights[1]) < 0.2
-    assert not preference.train(ids[:40], ids[:40], x[:40], y[:40], r.random(40)).used
-    random_labels = preference.train(ids, ids, x, r.random(400) < 0.5, r.random(400))
-    assert not random_labels.used
-    assert (preference.train(ids, ids, x, y, np.where(y, 1.0, 0.0))).used is False  # no better than the generic score
-    assert preference.mixed(np.array([0]))[0] == np.uint64(0xE220A8397B1DCDAF)
-    picked = preference.stratified(ids, ids < 50, 100)
-    assert len(picked) == 100 and (ids[picked] < 50).sum() == 50
+    assert not preference.train(x[:40], y[:40], fold[:40], r.random(40)).used
+    assert not preference.train(x, r.random(400) < 0.5, fold, r.random(400)).used
+    assert preference.train(x, y, fold, np.where(y, 1.0, 0.0)).used is False  # no better than the generic score
+    rows = spark.range(400).selectExpr("1L AS k", "id AS photo_id", "id < 50 AS positive")
+    picked = preference.stratified(rows, "k", 100).collect()
+    assert len(picked) == 100 and sum(p.positive for p in picked) == 50
+    few = preference.stratified(rows.where("photo_id >= 40"), "k", 100).collect()
+    assert len(few) == 100 and sum(p.positive for p in few) == 10 and preference.stratified(rows, "k", 1000).count() == 400
+
+
+def test_fit_is_the_least_penalised_loss():
+    r = np.random.default_rng(2)
+    x, y = np.c_[r.normal(size=(90, 3)), np.ones(90)], r.random(90) < 0.3
+    w = preference.fit(x, y, 0.03)
+
+    def loss(w):
+        each = np.log1p(np.exp(-np.where(y, 1, -1) * (x @ w)))
+        return each[y].mean() / 2 + each[~y].mean() / 2 + 0.015 * (w[:3] ** 2).sum()
+
+    assert all(loss(w) <= loss(w + 0.01 * r.normal(size=4)) for _ in range(200))
 
 
 def test_names():
