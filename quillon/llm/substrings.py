@@ -5,9 +5,9 @@
    the bytes around it alone, so a passage is cut alike wherever it stands and insertions before it shift nothing.
    Texts are chunked once, into a written table.
 2. Chunks are counted by half of their 128-bit digest, pre-aggregated before the shuffle; only chunks seen more than
-   once go on. Digests with more than 1 / COMMON of all chunks, COMMON at most, are broadcast, so their places are
-   found without a shuffle and meet in no task; places of other digests are joined back by digest. Each place is
-   compared with the smallest place of its whole digest.
+   once go on, joined back by digest. Digests with more than 1 / COMMON of all chunks, COMMON at most, are broadcast
+   first, and their places are dealt out in as many parts as keep each under that share, so they never meet in one
+   task. Each place is compared with the smallest place of its whole digest.
 3. Per document, stretches of neighbouring chunks that all stand at an earlier place too are repeats if they have at
    least MIN_WORDS words, be it one chunk or many. The earliest copy of every chunk stays, as do shorter stretches.
 
@@ -181,19 +181,15 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Repeated stretches: id, k1, k2, start_byte, end_byte, n_words, first_ids (documents with the earliest copies)."""
     chunks = materialize(chunk_rows(docs, id_col, text_col), "chunks")
-    again = materialize(chunks.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1"), "repeated-digests")
     bound = max(COMMON_AT_LEAST, chunks.count() // COMMON)
-    common = F.broadcast(again.where(F.col("n") > bound).select("d1"))
-    rest = again.where(F.col("n") <= bound).select("d1")
-    place = F.struct(*_DOCUMENT, "start")
-
-    def later(shared: DataFrame, small: bool) -> DataFrame:
-        first = shared.groupBy("d1", "d2").agg(F.min(place).alias("first"))
-        first = F.broadcast(first) if small else first  # a row for each common digest
-        return shared.join(first, ["d1", "d2"]).where(place != F.col("first")).select(*_DOCUMENT, "start", "extent", F.col("first.id").alias("first_id"))
-
-    shared = materialize(chunks.join(common, "d1", "left_anti").join(rest, "d1"), "shared-chunks")
-    found = later(shared, False).unionByName(later(chunks.join(common, "d1", "left_semi"), True))
+    again = materialize(chunks.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1", F.ceil(F.col("n") / bound).cast("int").alias("g")), "repeated-digests")
+    common = F.broadcast(again.where("g > 1"))
+    place, parts = F.struct(*_DOCUMENT, "start"), F.coalesce("g", F.lit(1))
+    part = F.pmod(F.xxhash64(*_DOCUMENT, "start"), parts).cast("int").alias("part")
+    dealt_out = F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
+    shared = materialize(chunks.join(common, "d1", "left").select(*chunks.columns, part).join(again.select("d1", dealt_out), ["d1", "part"]), "shared-chunks")
+    first = shared.groupBy("d1", "d2").agg(F.min(place).alias("first")).join(common, "d1", "left").select("d1", "d2", "first", dealt_out)
+    found = shared.join(first, ["d1", "d2", "part"]).where(place != F.col("first")).select(*_DOCUMENT, "start", "extent", F.col("first.id").alias("first_id"))
     # Rows repeated whole have the same places: once is enough.
     once = found.groupBy(*_DOCUMENT, "start").agg(F.min("extent").alias("extent"), F.min("first_id").alias("first_id"))
     dealt = once.repartition(*_DOCUMENT).sortWithinPartitions(*_DOCUMENT, "start")
