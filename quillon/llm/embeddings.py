@@ -1,10 +1,12 @@
 """Embedding near-duplicates: spherical k-means cells and blocked cosine products within them.
 
-1. Equal vectors of one label are one node with a count, so copies are never compared with each other.
+1. Equal vectors of one label, known by a 128-bit hash, are one node with a count, so copies are never compared with
+   each other.
 2. Spherical k-means on a bounded, documented sample gives cells; every vector has a home cell, the nearest centroid.
    Two unit vectors with cosine >= t are at most d = sqrt(2 - 2t) apart, so of two that have different homes at least
    one lies within d / 2 of the plane between the two centroids. Visiting all cells whose plane is that near, every
-   linked pair meets in the home of one of the two: no link is lost, whatever the centroids are.
+   linked pair meets in the home of one of the two: no link is lost, whatever the centroids are. Vectors are not sent
+   to cells where none of their label is at home.
 3. A cell's vectors of one label are dealt out as pairs of bounded tiles; each pair of tiles is one matrix product in
    double precision. A pair of vectors is counted once, in the lower of the cells in which it meets.
 4. Counts of links are added up; tiles give spanning stars, which are joined to components.
@@ -24,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.batches import tasks
 from quillon.operators.graph import connected_components
 from quillon.sources.scratch import materialize
 
 THRESHOLD = 0.98
 #: Vectors that k-means learns from, at most, and its rounds.
 SAMPLE, ROUNDS, SEED = 20_000, 8, 7
+#: Components of all sampled vectors, at most; centroids have at most half as many.
+VALUES = 1 << 23
 #: Centroids grow as the root of the rows, to at most this many (a broadcast of some MB).
 CENTROIDS = 8192
 TILE = 2048
@@ -93,18 +98,17 @@ def exact_cosine(x: np.ndarray, y: np.ndarray) -> float:
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", threshold: float = THRESHOLD) -> DataFrame:
     """id_col, n_links, component_id, kept: a row per distinct (id, label, vector). label_col None: all may link."""
     label = F.col(label_col).cast("string") if label_col else F.lit("")
-    rows = table.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("vector")).distinct()
+    # Floats are shipped as floats; tasks widen them to doubles.
+    held = "array<float>" if table.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = table.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast(held).alias("vector"))
     usable = _valid("vector") & F.col("label").isNotNull()
-    # Copies of one vector are a node, named by a hash of label and vector and, beside it, told apart by both.
-    nodes = materialize(rows.where(usable).groupBy("label", "vector").agg(F.min("id").alias("least"), F.count("*").alias("copies")).withColumn("dim", F.size("vector")).withColumn("node", F.monotonically_increasing_id()), "vectors")
-    n = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("label", "vector"), "node").limit(SAMPLE).select("dim", "vector").collect()
-    centres = {}
-    k = min(CENTROIDS, max(1, math.isqrt(n)))
-    for dim in {r.dim for r in sample}:
-        of = _unit(np.array([r.vector for r in sample if r.dim == dim]))
-        centres[dim] = kmeans(of, max(1, min(k, len(of))))
-    shipped = table.sparkSession.sparkContext.broadcast(centres)
+    # Copies of one vector are a node; label and vector are known by 128 bits, so vectors are dealt out once for it.
+    keyed = rows.where(usable).withColumn("h1", F.xxhash64("label", "vector")).withColumn("h2", F.xxhash64(F.lit(1), "label", "vector"))
+    members = materialize(keyed.select("id", "h1", "h2").distinct(), "members")
+    counted = members.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    vectors = keyed.select("h1", "h2", "label", "vector").dropDuplicates(["h1", "h2"])
+    nodes = materialize(vectors.join(counted, ["h1", "h2"]).withColumn("dim", F.size("vector")).withColumn("node", F.monotonically_increasing_id()), "vectors")
+    shipped = table.sparkSession.sparkContext.broadcast(_centres(nodes))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,17 +120,22 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
                     cells[i] = c
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], batch.column(0), pa.array(cells, pa.list_(pa.int32()))], ["dim", "label", "node", "copies", "vector", "cells"])
 
-    placed = materialize(nodes.select("vector", "dim", "label", "node", "copies").mapInArrow(assign, "dim int, label string, node long, copies long, vector array<double>, cells array<int>"), "cells")
+    placed = materialize(nodes.select("vector", "dim", "label", "node", "copies").mapInArrow(assign, f"dim int, label string, node long, copies long, vector {held}, cells array<int>"), "cells")
+    at_home = F.col("cell") == F.col("cells")[0]
     met = placed.withColumn("cell", F.explode("cells"))
-    # Homes are never compared with nothing: a cell of one vector is left out.
-    sizes = met.groupBy("label", "dim", "cell").agg(F.count("*").alias("n")).where("n > 1").withColumn("g", F.ceil(F.col("n") / TILE).cast("int")).drop("n")
+    # Every pair has one at home, so visitors meet in no cell where nothing of their label is at home. The table is
+    # written, so that its size is known when the join with it is planned.
+    sizes = met.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), F.count(F.when(at_home, 1)).alias("homes")).where("n > 1 AND homes > 0")
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    sizes = sizes.select("label", "dim", "cell", F.when(F.col("n") <= TILE, 1).otherwise(tiles(F.col("homes"))).alias("gh"), F.when(F.col("n") <= TILE, 0).otherwise(tiles(F.col("n") - F.col("homes"))).alias("gv"))
+    by_hash = lambda g: F.pmod(F.xxhash64("node"), F.col(g)).cast("int")
     dealt = (
-        met.join(sizes, ["label", "dim", "cell"])
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-        .withColumn("s", F.explode(F.expr("sequence(0, g - 1)")))
+        met.join(materialize(sizes, "cell-sizes"), ["label", "dim", "cell"])
+        .withColumn("own", F.when(at_home | (F.col("gv") == 0), by_hash("gh")).otherwise(F.col("gh") + by_hash("gv")))
+        .withColumn("s", F.explode(F.expr("sequence(0, IF(own < gh, gh + gv, gh) - 1)")))
         .select("label", "dim", "cell", F.least("own", "s").alias("ta"), F.greatest("own", "s").alias("tb"), "own", "node", "copies", "cells", "vector")
     )
-    dealt = dealt.repartition("label", "dim", "cell", "ta", "tb").sortWithinPartitions("label", "dim", "cell", "ta", "tb", "node")
+    dealt = dealt.repartition(tasks(table.sparkSession), "label", "dim", "cell", "ta", "tb").sortWithinPartitions("label", "dim", "cell", "ta", "tb", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _groups(batches):
@@ -135,16 +144,34 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     links = materialize(dealt.mapInArrow(compare, "node long, n long, other long"), "links")
     counts = links.groupBy("node").agg(F.sum("n").alias("linked"))
     member = connected_components(links.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    rooted = nodes.select("node", "label", "vector", "least", "copies").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = nodes.select("node", "h1", "h2", "least", "copies").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    told = rooted.join(smallest, "root").join(counts, "node", "left").select("label", "vector", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    linked = rows.where(usable).join(told, ["label", "vector"]).select("id", "n_links", "component_id")
-    alone = rows.where(~F.coalesce(usable, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    told = rooted.join(smallest, "root").join(counts, "node", "left").select("h1", "h2", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    linked = members.join(told, ["h1", "h2"]).select("id", "n_links", "component_id")
+    alone = rows.where(~F.coalesce(usable, F.lit(False))).distinct().select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     both = linked.unionByName(alone)
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
     return both.select(F.col("id").alias(id_col), "n_links", "component_id", kept.alias("kept"))
 
 
+def _centres(nodes: DataFrame) -> dict[int, np.ndarray]:
+    """Centroids by vector length. A share of the hashes is drawn before the sample is cut to size, so no task sends
+    more than its part of it."""
+    n, longest = nodes.agg(F.count("*"), F.max("dim")).first()
+    if not n:
+        return {}
+    size = max(1, min(SAMPLE, VALUES // longest))
+    share = min(1.0, 1.2 * size / n + 1000 / n)
+    drawn = F.shiftrightunsigned(F.xxhash64("h1", "h2"), 33) <= int(share * (1 << 31))
+    sample = nodes.where(drawn).orderBy(F.xxhash64("h1", "h2"), "h1", "h2").limit(size).select("dim", "vector").toArrow().combine_chunks()
+    dims, centres = sample.column("dim").to_numpy(), {}
+    k = min(CENTROIDS, max(1, math.isqrt(n)))
+    for dim in np.unique(dims).tolist():
+        of = _unit(_matrix(sample.column("vector").take(pa.array(np.flatnonzero(dims == dim))).combine_chunks()))
+        centres[dim] = kmeans(of, max(1, min(k, len(of), VALUES // 2 // dim)))
+    return centres
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Runs of rows with equal label, dim, cell and tiles; a run has two tiles at most."""
     rest: pa.Table | None = None
