@@ -60,3 +60,15 @@ def test_repeated_rows_are_one_vector(spark):
     rows = [(1, [1.0, 0.0], 0, ""), (1, [1.0, 0.0], 0, ""), (2, [1.0, 0.001], 0, "")]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: (1, 1, True), 2: (1, 1, False)}
+
+
+def test_small_samples_null_ids_and_signed_zeros(spark, monkeypatch):
+    """Whatever the sample, no link is lost; the sample is bounded in components too."""
+    monkeypatch.setattr(embeddings, "VALUES", 80)
+    monkeypatch.setattr(embeddings, "TILE", 7)
+    rows = table(90) + [(901, [0.0, 1.0], 0), (902, [-0.0, 1.0], 0), (903, [None, 1.0], 0), (904, [1.0, None], 0)]
+    got = embeddings.near_duplicates(spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
+    some = [(None, [1.0, 0.0], 0, ""), (5, [1.0, 0.0], 0, ""), (None, None, 0, "")]
+    got = embeddings.near_duplicates(spark.createDataFrame(some, SCHEMA)).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == [(5, 1, 5, True), (None, 0, None, False), (None, 1, 5, False)]
