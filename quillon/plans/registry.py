@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("filter_queries", "rollup_queries", "window_queries", "scoring_queries", "catalog_queries", "edit_queries", "model_queries", "stream_queries")
+MODULES = ("filter_queries", "rollup_queries", "window_queries", "scoring_queries", "catalog_queries", "edit_queries", "store_queries", "model_queries", "stream_queries")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -106,6 +106,9 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 _SIDECAR = "RDF struct<Description struct<_Rating string, _Label string, _Pick string, subject struct<Bag struct<li array<string>>>, hierarchicalSubject struct<Bag struct<li array<string>>>>>"
 
+# Names of the document's vocabularies.
+_SIDECAR_HEAD = '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" xmlns:xmp="http://ns.adobe.com/xap/1.0/" xmlns:xmpDM="http://ns.adobe.com/xmp/1.0/DynamicMedia/" xmlns:dc="http://purl.org/dc/elements/1.1/"'
+
 
 def sidecar_values(xml: Column) -> Column:
     """rating, label, pick, keywords of an XMP document; keywords fall back to the leaves of hierarchical ones.
@@ -117,3 +120,18 @@ def sidecar_values(xml: Column) -> Column:
     d = parsed["RDF"]["Description"]
     leaves = F.transform(d["hierarchicalSubject"]["Bag"]["li"], lambda k: F.element_at(F.split(k, r"\|"), -1))
     return F.struct(d["_Rating"].try_cast("int").alias("rating"), d["_Label"].alias("label"), d["_Pick"].try_cast("int").alias("pick"), F.coalesce(d["subject"]["Bag"]["li"], leaves).alias("keywords"))
+
+
+def sidecar_document(rating: Column, label: Column, pick: Column, keywords: Column) -> Column:
+    """The XMP document of a photo's rating, label, pick and keywords; `sidecar_values` reads them back. What is null, and
+    an empty list of keywords, is left out."""
+
+    def quoted(c: Column) -> Column:
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(a), F.lit(b))
+        return c
+
+    held = [F.coalesce(F.concat(F.lit(f' {name}="'), quoted(c.cast("string")), F.lit('"')), F.lit("")) for name, c in (("xmp:Rating", rating), ("xmp:Label", label), ("xmpDM:Pick", pick))]
+    items = F.concat_ws("", F.transform(keywords, lambda k: F.concat(F.lit("<rdf:li>"), quoted(k), F.lit("</rdf:li>"))))
+    subject = F.when(F.size(keywords) > 0, F.concat(F.lit("<dc:subject><rdf:Bag>"), items, F.lit("</rdf:Bag></dc:subject>"))).otherwise(F.lit(""))
+    return F.concat(F.lit(_SIDECAR_HEAD), *held, F.lit(">"), subject, F.lit("</rdf:Description></rdf:RDF></x:xmpmeta>"))
