@@ -88,6 +88,7 @@ class Index:
         self.edits, self.walks = edits, walks_for(edits) if walks is None else walks
         self.windows = [(item, words) for item, words in items if int(edits * len(words)) > 0]
         self.masks: dict[tuple[int, bool], dict[str, int]] = {}
+        self.bags: dict[int, frozenset[str]] = {}
         hasher = _Hasher()
         sizes = np.array([len(w) for _, w in self.windows], np.int64)
         codes = np.fromiter((hasher[x] for _, w in self.windows for x in w), np.uint64, int(sizes.sum()))
@@ -129,6 +130,14 @@ class Index:
             self.masks[n, backwards] = _masks(self.windows[n][1][:: -1 if backwards else 1])
         return self.masks[n, backwards]
 
+    def bag(self, n: int) -> frozenset[str]:
+        """The different words of window n; kept for recent windows."""
+        if n not in self.bags:
+            if len(self.bags) >= 2000:
+                self.bags.clear()
+            self.bags[n] = frozenset(self.windows[n][1])
+        return self.bags[n]
+
     def whole(self, texts: list[list[str]], codes: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """The first exact match of each text and item that allows for no edits, as search() yields them."""
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -190,9 +199,9 @@ class Index:
     def nearest(self, n: int, text: list[str], low: int, high: int, most: int) -> tuple[int, int, int] | None:
         """First word, end word and edit distance of the stretch of text[low:high] that is nearest to window n, if at most
         `most` words differ."""
-        size, part = len(self.windows[n][1]), text[low:high]
-        present = set(part)
-        if sum(w not in present for w in self.windows[n][1]) > most:
+        window, part = self.windows[n][1], text[low:high]
+        size, absent = len(window), self.bag(n).difference(part)
+        if len(absent) > most or sum(map(window.count, absent)) > most:
             return None  # each of these words costs an edit
         costs = list(_edits(self.mask(n, False), size, part, 0))
         cost = min(costs, default=most + 1)
@@ -230,9 +239,9 @@ def _walk(codes: np.ndarray, at: np.ndarray, limit: np.ndarray, walk: int, steps
     """Words written at the wanted steps by walks from places `at`, and where the walks write last. A walk that has
     passed its limit writes nothing that can meet a key."""
     words = _mixed(codes, walk + 1)
-    pointer, out, one, end = at.astype(np.int64), {}, np.uint64(1), len(codes) - 1
+    pointer, out, one = at.astype(np.int64), {}, np.uint64(1)
     for step in range(steps):
-        here = words[np.minimum(pointer, end)]
+        here = words.take(pointer, mode="clip")  # past the end, the last word
         if wanted is None or step in wanted:
             out[step] = np.where(pointer < limit, here, np.uint64(step)) if step == steps - 1 or wanted is None else here
         if step + 1 < steps:
