@@ -88,3 +88,12 @@ def test_offsets_beyond_a_week_are_refused(spark):
     e = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (1, 3, 7)], schema).withColumn("source", F.lit("auto")).withColumn("confidence", F.lit(0.6))
     made = spark.createDataFrame([(1, 1, 604_800_001), (1, 2, None), (1, 3, -604_800_000)], schema)
     assert rows(alignment.with_offset(e, made), "device_id", "offset_ms", "source") == [(1, 5, "auto"), (3, -604_800_000, "manual")]
+
+
+def test_donor_scores_are_made_where_candidates_are(spark):
+    schema = "photo_id long, person_id long, measured boolean, area double, shine double, roughness double, sharpness double, yaw double, pitch double, roll double"
+    c = spark.createDataFrame([(i, i % 2, True, 0.2, 0.01, 0.1, 0.5, 0.0, 0.0, 0.0) for i in range(200)], schema)
+    got = ranking.donor_scores(c.where("photo_id % 50 = 0"), c)
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    joins = [x for x in plan if "Join" in x]
+    assert "BroadcastHashJoin" in joins[0] and got.count() == 4 * 99  # no sort or shuffle that a large person would gather in
