@@ -256,3 +256,32 @@ def test_text_to_plan():
     for calls in ([], [text_plan.Call("explode")], [text_plan.Call("filter", {"flag": "x"})], [text_plan.Call("export"), text_plan.Call("filter", {})], [text_plan.Call("group_keep_top", {"n": 0})]):
         with pytest.raises(ValueError):
             text_plan.validate(calls)
+
+
+def test_donors_of_ties_nulls_and_strangers(spark):
+    r = random.Random(3)
+    made = [(i, r.choice([1, 1, 2, None]), r.choice([None, 1, 2, 3]), None if r.random() < 0.1 else r.randrange(10) * 60_000 + r.choice([0, 59_999]), r.choice([None, 0.0, -0.0, 0.5, float("nan"), r.random()])) for i in range(300)]
+    c = spark.createDataFrame(made, "photo_id long, person_id int, session_id int, t long, score double")
+    t = c.where("photo_id % 7 = 0").union(spark.createDataFrame([(1000, 2, 3, 61_000, 0.0), (1001, 9, 1, 0, 0.0)], c.schema))
+
+    def rank(target, x):
+        mate = 2 if x[2] is None or target[2] is None else int(x[2] != target[2])
+        score = (2, 0) if x[4] is None else (0, 0) if x[4] != x[4] else (1, -x[4])
+        minutes = -1 if x[3] is None or target[3] is None else abs((x[3] - target[3]) // 60_000)
+        return mate, score, minutes, x[0]
+
+    want = []
+    for target in [tuple(x) for x in t.collect() if x.person_id]:
+        found = sorted((x for x in made if x[1] == target[1] and x[0] != target[0]), key=lambda x: rank(target, x))
+        want += [(target[0], target[1], x[0], k) for k, x in enumerate(found, 1)]
+    got = ranking.donors(t, c)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan.splitlines()[0]  # no pair is shuffled or sorted
+    before = ranking.ROWS_A_BATCH, ranking.PAIRS_A_SHARE
+    try:
+        ranking.PAIRS_A_SHARE = 500  # several shares a person
+        assert sorted(tuple(x) for x in ranking.donors(t, c).collect()) == sorted(want)
+    finally:
+        ranking.ROWS_A_BATCH, ranking.PAIRS_A_SHARE = before
+    assert ranking.donors(t.where("false"), c).count() == 0
