@@ -258,6 +258,14 @@ def test_text_to_plan():
             text_plan.validate(calls)
 
 
+def shuffles_of_pairs(df):
+    """Exchanges above a join in the executed plan: what they move are pairs."""
+    df.write.format("noop").mode("overwrite").save()
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [k for k, x in enumerate(lines) if "Join " in x]
+    return [x for x in lines[: joins[0]] if any(n in x for n in ("Aggregate", "Window", "Sort", "Repartition"))]
+
+
 def test_donors_of_ties_nulls_and_strangers(spark):
     r = random.Random(3)
     made = [(i, r.choice([1, 1, 2, None]), r.choice([None, 1, 2, 3]), None if r.random() < 0.1 else r.randrange(10) * 60_000 + r.choice([0, 59_999]), r.choice([None, 0.0, -0.0, 0.5, float("nan"), r.random()])) for i in range(300)]
@@ -285,3 +293,14 @@ def test_donors_of_ties_nulls_and_strangers(spark):
     finally:
         ranking.ROWS_A_BATCH, ranking.PAIRS_A_SHARE = before
     assert ranking.donors(t.where("false"), c).count() == 0
+
+
+def test_theta_candidates_of_ids_with_several_rows(spark):
+    r = random.Random(5)
+    made = [(r.randrange(120), r.choice([None, 1, 2, 3, 4]), r.choice([None, *range(12)]), r.choice([None, *range(6)])) for _ in range(200)]
+    f = spark.createDataFrame(made, "face_id long, person_id int, track_id int, session_id int")
+    eq = lambda a, b: a is not None and a == b
+    want = {(a[0], b[0]) for a in made if a[0] % 5 == 0 for b in made if a[0] != b[0] and (eq(a[1], b[1]) or eq(a[2], b[2]) or b[1] is None and eq(a[3], b[3]))}
+    got = maintenance.theta_candidates(f.where("face_id % 5 = 0").distinct(), f)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+    assert not shuffles_of_pairs(got)
