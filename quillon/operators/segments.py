@@ -1,20 +1,25 @@
 """Bursts, scenes and events of time-ordered photos.
 
-Scenes and events are single window passes. Bursts are a greedy look-back over time order: a pre-cut wherever no link can
-reach across splits a session into chunks that are segmented independently and give the same result as one pass.
+Scenes and events are single window passes. Bursts are a greedy look-back over time order: a cut wherever no link
+reaches across splits a session into stretches that are segmented independently and give the same result as one pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs
-from quillon.operators.grouped import Columns, map_groups
+from quillon.operators.grouped import Columns
+from quillon.sources import scratch
 
 
 @dataclass(frozen=True)
@@ -67,10 +72,10 @@ def likeness(rows: Columns, p: GroupParams) -> tuple[np.ndarray, Callable[[int,
     """[row, lag]: how alike a row and that so many rows before it are (NaN before the first row), for all lags of the
     look-back at once; and the same of any two rows."""
     n = len(rows["t"])
-    length = np.array([len(v) if v else 0 for v in rows["embedding"]])
+    length = np.array([0 if v is None else len(v) for v in rows["embedding"]])
     unit = np.zeros((n, max(1, int(length.max(initial=0)))), np.float32)
     for i, v in enumerate(rows["embedding"]):
-        if v:
+        if length[i]:
             unit[i, : length[i]] = v
     size = np.linalg.norm(unit, axis=1)
     hashed = np.array([x is not None for x in rows["phash"]])
@@ -90,6 +95,18 @@ def likeness(rows: Columns, p: GroupParams) -> tuple[np.ndarray, Callable[[int,
     return out, lambda i, j: float(between(np.array([i]), np.array([j]))[0])
 
 
+def links(rows: Columns, t_burst: int, p: GroupParams) -> tuple[np.ndarray, Callable[[int, int], float], np.ndarray]:
+    """likeness(), and where [row, lag] a row links to the one that so many rows lie before it."""
+    alike, between = likeness(rows, p)
+    t = np.array([np.nan if x is None else x for x in rows["t"]], float)
+    linked = np.zeros(alike.shape, bool)
+    for lag in range(1, min(alike.shape[1], len(t) - 1) + 1):
+        apart, s = np.abs(t[lag:] - t[:-lag]), alike[lag:, lag - 1]
+        near = ((apart <= t_burst) & (s >= p.theta_burst)) | ((apart <= p.t_slow_ms) & (s >= p.theta_strict))
+        linked[lag:, lag - 1] = np.where(np.isnan(apart), s >= p.theta_strict, near)
+    return alike, between, linked
+
+
 def segment(rows: Columns, t_burst: int, p: GroupParams) -> list[int]:
     """Burst number of each row of one chunk in time order, numbered by first row.
 
@@ -99,13 +116,8 @@ def segment(rows: Columns, t_burst: int, p: GroupParams) -> list[int]:
     n = len(rows["t"])
     if not n:
         return []
-    alike, between = likeness(rows, p)
+    alike, between, linked = links(rows, t_burst, p)
     t = np.array([np.nan if x is None else x for x in rows["t"]], float)
-    linked = np.zeros(alike.shape, bool)
-    for lag in range(1, min(alike.shape[1], n - 1) + 1):
-        apart, s = np.abs(t[lag:] - t[:-lag]), alike[lag:, lag - 1]
-        near = ((apart <= t_burst) & (s >= p.theta_burst)) | ((apart <= p.t_slow_ms) & (s >= p.theta_strict))
-        linked[lag:, lag - 1] = np.where(np.isnan(apart), s >= p.theta_strict, near)
     label = np.arange(n)  # a burst is named by its first row
     order = np.argsort(np.where(linked, -alike, np.inf), axis=1, kind="stable")  # nearer rows win ties
     for i in np.flatnonzero(linked.any(axis=1)).tolist():
@@ -150,30 +162,115 @@ def bursts(items: DataFrame, p: GroupParams = GroupParams(), key: str = "session
     """key, id, burst_id (the id of the burst's first row).
 
     items: key, id, t (ms or null), name, device, phash (long), embedding. Rows are ordered by (t, lower name, id), those
-    without a time last. Timed rows further apart than t_slow (or T) never link, so a session is cut there; the rows
-    without a time may link with the last `lookback` timed ones and share their chunk.
+    without a time last; items is read several times. The order is dealt out in ranges of bounded length, however long a
+    session is. A stretch between two places that no link crosses has the same bursts by itself, so a range settles all
+    but its first and last stretch; those meet their continuation in the neighbouring ranges afterwards.
     """
-    fixed = F.lit(p.t_burst_ms).cast("long")
-    limits = items.select(key).distinct().withColumn("t_burst", fixed) if p.t_burst_ms is not None else adaptive_t_burst(items, key)
-    order = Window.partitionBy(key).orderBy(F.col("t").asc_nulls_last(), F.lower("name"), "id")
-    cut = F.greatest(F.lit(p.t_slow_ms), F.lit(p.t_burst_ms or 0))
-    placed = items.withColumn("pos", F.row_number().over(order)).withColumn("new", F.when(F.col("t") - F.lag("t").over(order) > cut, 1).otherwise(0)).withColumn("chunk", F.sum("new").over(order))
-    # Untimed rows may link back to any of the last timed rows: chunks that hold one of those become one with them.
-    totals = items.groupBy(key).agg(F.count("t").alias("timed"), F.count_if(F.col("t").isNull()).alias("untimed"))
-    placed = placed.join(totals, key)
-    tail = (F.col("untimed") > 0) & (F.col("pos") > F.col("timed") - p.lookback)
-    first_tail = F.min(F.when(tail, F.col("chunk"))).over(Window.partitionBy(key))
-    placed = placed.withColumn("chunk", F.when(F.col("chunk") >= first_tail, first_tail).otherwise(F.col("chunk")))
-    ready = placed.join(limits, key).select(key, "chunk", "pos", "id", "t", "device", "phash", "embedding", "t_burst")
-
-    def run(c: Columns) -> Columns:
-        number = segment(c, c["t_burst"][0], p)
-        first: dict[int, int] = {}
-        for n, i in zip(number, c["id"]):
-            first.setdefault(n, i)
-        return {key: c[key], "id": c["id"], "burst_id": [first[n] for n in number]}
-
-    return map_groups(ready, [key, "chunk"], ["pos"], run, f"{key} long, id long, burst_id long")
+    limits = None if p.t_burst_ms is not None else adaptive_t_burst(items, key)
+    rows = items.withColumn("t_burst", F.lit(p.t_burst_ms).cast("long")) if limits is None else items.join(limits, key)
+    rows = rows.select(F.col(key).cast("long").alias(key), F.col("id").cast("long").alias("id"), "t", F.lower("name").alias("name"), "device", "phash", F.col("embedding").cast("array<float>").alias("embedding"), "t_burst")
+    ranges = max(1, -(-items.select(key).count() // ROWS_A_RANGE))
+    order = [F.col(key), F.col("t").asc_nulls_last(), F.col("name"), F.col("id")]
+    kind = dict(rows.dtypes)
+    wide = f"t {kind['t']}, device {kind['device']}, phash {kind['phash']}, embedding array<float>, t_burst long"
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [x for x in batches if x.num_rows]
+        if batches:
+            table = pa.Table.from_batches(batches).drop_columns(["name"])
+            batches.clear()
+            yield from _settled(table, key, TaskContext.get().partitionId(), p)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for stretch in _stretches(batches, ["chain", key]):
+            yield from stretch.select([key, "id"]).append_column("burst_id", _named(stretch, p)).combine_chunks().to_batches()
+
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    found = scratch.materialize(dealt.mapInArrow(settle, f"{key} long, id long, burst_id long, settled boolean, part int, at int, tail boolean, {wide}"), "bursts")
+    # A range with a cut ends the stretch that came from before and begins the one that goes on.
+    cut = {r.part for r in found.where("tail").select("part").distinct().collect()}
+    before = list(accumulate((int(k in cut) for k in range(ranges)), initial=0))[:ranges]
+    chains = F.broadcast(items.sparkSession.createDataFrame(list(enumerate(before)), "part int, before int"))
+    rest = found.where("NOT settled").join(chains, "part").withColumn("chain", F.col("before") + F.col("tail").cast("int"))
+    rest = rest.select("chain", key, "part", "at", "id", "t", "device", "phash", "embedding", "t_burst").repartition("chain", key).sortWithinPartitions("chain", key, "part", "at")
+    return found.where("settled").select(key, "id", "burst_id").union(rest.mapInArrow(join, f"{key} long, id long, burst_id long"))
+
+
+#: Rows of a range of the order, about.
+ROWS_A_RANGE = 40_000
+
+
+def _changes(table: pa.Table | pa.RecordBatch, keys: list[str]) -> list[int]:
+    """Where one of the keys differs from the row before; null is a value."""
+    out = np.zeros(max(table.num_rows - 1, 0), bool)
+    for k in keys:
+        x = table.column(k)
+        x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+        known = pc.is_valid(x).to_numpy(zero_copy_only=False)
+        v = pc.fill_null(x, 0).to_numpy(zero_copy_only=False)
+        out |= (v[1:] != v[:-1]) | (known[1:] != known[:-1])
+    return (np.flatnonzero(out) + 1).tolist()
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of equal keys in a sorted stream."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cuts = [0, *_changes(batch, keys), batch.num_rows]
+        if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(cuts, cuts[1:]):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _columns(table: pa.Table) -> Columns:
+    """The columns that segment() reads; vectors stay views of one array."""
+    vectors = table.column("embedding").combine_chunks()
+    ends, known = vectors.offsets.to_numpy(), pc.is_valid(vectors).to_numpy(zero_copy_only=False)
+    values = vectors.values.to_numpy(zero_copy_only=False)
+    return {k: table.column(k).to_pylist() for k in ("t", "device", "phash")} | {"embedding": [values[a:b] if seen else None for a, b, seen in zip(ends, ends[1:], known)]}
+
+
+def _named(rows: pa.Table, p: GroupParams) -> pa.Array:
+    """Each row's burst, by the id of its first row; rows of one session in order."""
+    number = np.array(segment(_columns(rows), rows.column("t_burst")[0].as_py(), p))
+    _, first = np.unique(number, return_index=True)
+    return rows.column("id").combine_chunks().take(pa.array(first[number]))
+
+
+def _settled(table: pa.Table, key: str, part: int, p: GroupParams) -> Iterator[pa.RecordBatch]:
+    """Rows of a range, named between its first and last cut; the others keep what they need to be named later."""
+    n, back = table.num_rows, max(p.lookback, 1)
+    starts = [0, *_changes(table, [key]), n]
+    cuts = starts[1:-1]
+    for a, b in dict.fromkeys([(starts[0], starts[1]), (starts[-2], starts[-1])]):
+        piece = table.slice(a, b - a)
+        linked = links(_columns(piece), piece.column("t_burst")[0].as_py(), p)[2]
+        reach = np.arange(b - a) - np.where(linked.any(axis=1), linked.shape[1] - np.argmax(linked[:, ::-1], axis=1), 0)
+        free = np.minimum.accumulate(reach[::-1])[::-1] >= np.arange(b - a)
+        # Unknown: links of the first rows to the range before, and of the rows of the range after to the last ones.
+        free[: back if a == 0 else 0] = False
+        free[max(0, b - a - back + 1) if b == n else b - a :] = False
+        cuts += (np.flatnonzero(free) + a).tolist()
+    head, tail = (min(cuts), max(cuts)) if cuts else (n, n)
+    names = [_named(table.slice(max(a, head), min(b, tail) - max(a, head)), p) for a, b in zip(starts, starts[1:]) if max(a, head) < min(b, tail)]
+    at = np.arange(n)
+    inside = pa.array((at >= head) & (at < tail))
+    burst = pa.chunked_array([pa.nulls(head, pa.int64()), *names, pa.nulls(n - max(head, tail), pa.int64())], pa.int64())
+    wide = {c: pc.if_else(inside, pa.scalar(None, table.schema.field(c).type), table.column(c).combine_chunks()) for c in ("t", "device", "phash", "t_burst")}
+    vectors = table.column("embedding").combine_chunks()
+    wide["embedding"] = pa.concat_arrays([vectors.slice(0, head), pa.nulls(max(0, tail - head), vectors.type), vectors.slice(tail)])
+    out = {key: table.column(key), "id": table.column("id"), "burst_id": burst, "settled": inside, "part": pa.array(np.full(n, part, np.int32)), "at": pa.array(at.astype(np.int32)), "tail": pa.array(at >= tail)}
+    made = pa.table(out | {c: wide[c] for c in ("t", "device", "phash", "embedding", "t_burst")})
+    yield from made.combine_chunks().to_batches(max_chunksize=8192)
 
 
 def _numbered(rows: DataFrame, cut: Column, order: Window, name: str) -> DataFrame:

@@ -73,3 +73,18 @@ def test_scenes_and_events(spark):
     spans = [(1, 0, 0, 9 * h, 50.0, 8.0, 50.0, 8.0), (1, 1, h, 2 * h, None, None, None, None), (1, 2, 10 * h, 10 * h, 50.01, 8.0, 50.01, 8.0), (1, 3, 10 * h + 1, 11 * h, 51.0, 8.0, 51.0, 8.0), (1, 4, 14 * h, 14 * h, None, None, None, None)]
     got = s.events(spark.createDataFrame(spans, "session_id long, id long, start_at long, end_at long, first_lat double, first_lon double, last_lat double, last_lon double")).orderBy("id").collect()
     assert [r.event_no for r in got] == [0, 0, 0, 1, 2]
+
+
+def test_ranges_of_one_session_equal_one_pass(spark, monkeypatch):
+    p = s.GroupParams(t_burst_ms=3_000)
+    for size, gaps in ((7, None), (23, None), (200, None), (23, 500)):
+        monkeypatch.setattr(s, "ROWS_A_RANGE", size)
+        for seed in range(2):
+            rows = rows_of(seed, 150)
+            if gaps:  # like rows close together: links cross most borders of ranges
+                rows = [(1, i, None if r[2] is None else i * gaps, *r[3:5], 7, [1.0, 0.0, 0.1 * (i % 30 == 0)]) for i, r in enumerate(rows)]
+            more = [(2, 1000 + r[1], *r[2:]) for r in rows[:40]]
+            made = s.bursts(spark.createDataFrame(rows + more, SCHEMA), p)
+            got = {r.id: r.burst_id for r in made.collect()}
+            assert got == one_pass(rows, p) | one_pass(more, p)
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()  # which sorts a session in one task
