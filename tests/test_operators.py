@@ -304,3 +304,12 @@ def test_theta_candidates_of_ids_with_several_rows(spark):
     got = maintenance.theta_candidates(f.where("face_id % 5 = 0").distinct(), f)
     assert sorted(tuple(x) for x in got.collect()) == sorted(want)
     assert not shuffles_of_pairs(got)
+
+
+def test_theta_candidates_of_a_common_person_pack_well(spark, tmp_path):
+    f = spark.range(20_000).selectExpr("id * 7919 AS face_id", "1 AS person_id", "cast(null AS int) AS track_id", "2 AS session_id")
+    maintenance.theta_candidates(f, f.where("face_id % 100 = 0")).write.parquet(path := str(tmp_path / "pairs"))
+    n = spark.read.parquet(path).distinct().count()
+    assert n == 200 * 20_000 - 200  # each face once with each target but itself
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < n / 2
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
