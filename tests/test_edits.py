@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +100,21 @@ def test_donor_scores_are_made_where_candidates_are(spark):
     plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
     joins = [x for x in plan if "Join" in x]
     assert "BroadcastHashJoin" in joins[0] and got.count() == 4 * 99  # no sort or shuffle that a large person would gather in
+
+
+def test_donor_scores_of_unknown_angles_and_little_disk(spark, tmp_path):
+    r = random.Random(4)
+    angle = lambda: r.choice([None, float("nan"), 0.0, 5.0, -12.5, 40.0])
+    made = [(i, r.choice([1, 1, None]), r.random() < 0.8, 0.2, 0.01, 0.1, 0.5, angle(), angle(), angle()) for i in range(400)]
+    c = spark.createDataFrame(made, "photo_id long, person_id int, measured boolean, area double, shine double, roughness double, sharpness double, yaw double, pitch double, roll double")
+    worth = 0.35 * (1 / 1.3) + 0.25 * (1 - 0.01 / 0.05) + 0.2 * (1 - 0.1 / 0.3) + 0.2 * (1 / 1.5)
+
+    def score(d, t):
+        turns = [1.0 if math.isnan(a - b) else min(abs(a - b) / most, 1.0) for a, b, most in zip(d[7:], t[7:], (20, 15, 20)) if a is not None and b is not None]
+        return round(worth * (1 - 0.3 * max(turns, default=0.0)), 3) if d[2] else None
+
+    want = {(t[0], t[1], d[0]): score(d, t) for t in made if t[0] % 3 == 0 and t[1] for d in made if d[1] == t[1] and d[0] != t[0]}
+    got = ranking.donor_scores(c.where("photo_id % 3 = 0"), c)
+    assert {tuple(x)[:3]: x.score for x in got.collect()} == pytest.approx(want) and got.count() == len(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(photo_id" not in plan  # candidates aren't dealt out anew
