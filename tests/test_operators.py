@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.functions import exprs
 from quillon.operators import alignment, duplicates, maintenance, people, preference, ranking, rollups, search
@@ -313,3 +314,23 @@ def test_theta_candidates_of_a_common_person_pack_well(spark, tmp_path):
     assert n == 200 * 20_000 - 200  # each face once with each target but itself
     assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < n / 2
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_donors_in_stretches_pack_well_and_photos_are_dealt_once(spark, tmp_path):
+    c = spark.range(30_000).selectExpr("id AS photo_id", "cast(id % 2 AS int) AS person_id", "cast(id % 5000 AS int) AS session_id", "id * 60000 AS t", "cast((id * 7919) % 30011 AS double) AS score")
+    t = c.where("photo_id % 100 = 0")
+    before = ranking.GROUP, ranking.STRETCH
+    got = ranking.donors(t, c)
+    got.write.parquet(path := str(tmp_path / "pairs"))
+    n = spark.read.parquet(path).count()
+    assert n == 300 * 14_999
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 2 * n
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan  # shares are broadcast
+    few = c.where("photo_id < 900").withColumn("score", F.expr("score % 7")).withColumn("session_id", F.expr("nullif(session_id % 4, 0)"))
+    want = sorted(tuple(x) for x in ranking.donors(few.where("photo_id % 20 < 2"), few).collect())
+    try:
+        ranking.GROUP, ranking.STRETCH = 7, 16
+        assert sorted(tuple(x) for x in ranking.donors(few.where("photo_id % 20 < 2"), few).collect()) == want
+    finally:
+        ranking.GROUP, ranking.STRETCH = before
